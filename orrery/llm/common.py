@@ -51,9 +51,7 @@ def nullable(schema: T.StructType) -> T.StructType:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Cap the bytes of Arrow batches, since rows may be long."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(key, "-1").rstrip("bB") or -1) <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
