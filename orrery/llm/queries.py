@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, suffix_quality, token_records, warc
+from . import bagminhash, bpe, exact_dedup, mixing, ngram, suffix_quality, token_records, warc
 from .common import read, scratch
 
 
@@ -15,6 +15,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram.held_out_scores(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     token_records.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -22,6 +27,11 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bagminhash.near_classes(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.dedup_groups(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -48,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_token_records, op7_exact_dedup, op8_bpe, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op4_token_records, op5_near_dedup, op7_exact_dedup, op8_bpe, op9_warc, op10_quality_rules)}
 
 ORACLES = {
     "op9_warc": """
