@@ -137,8 +137,8 @@ def candidates(reps: DataFrame) -> DataFrame:
     members = banded.withColumn("own", F.pmod("turn", F.lit(SALTS)).cast("int"))
     inside = members.join(full, (F.col("bucket") == F.col("bk")) & (F.col("own") == F.col("salt")))
     runs = inside.withColumn("run", F.pmod(F.xxhash64("turn"), F.ceil(F.col("n") / RUN)))
-    before = F.lag("rid").over(W.partitionBy("bucket", "run").orderBy("turn"))
-    pairs = runs.select("rid", F.explode(F.array("pivot", before)).alias("other")).filter("other IS NOT NULL AND other <> rid")
+    runs = runs.withColumn("before", F.lag("rid").over(W.partitionBy("bucket", "run").orderBy("turn")))
+    pairs = runs.select("rid", F.explode(F.array("pivot", "before")).alias("other")).filter("other IS NOT NULL AND other <> rid")
     return pairs.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
 
 

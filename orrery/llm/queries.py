@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, exact_dedup, mixing, ngram, suffix_quality, token_records, warc
+from . import bagminhash, bpe, exact_dedup, mixing, ngram, pii, suffix_quality, token_records, toxicity, warc
 from .common import read, scratch
 
 
@@ -20,6 +20,11 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     token_records.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -32,6 +37,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.dedup_groups(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -58,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op4_token_records, op5_near_dedup, op7_exact_dedup, op8_bpe, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_toxicity, op4_token_records, op5_near_dedup, op6_pii, op7_exact_dedup, op8_bpe, op9_warc, op10_quality_rules)}
 
 ORACLES = {
     "op9_warc": """
