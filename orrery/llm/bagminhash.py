@@ -68,7 +68,7 @@ def signatures(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n_rows: i
         has = np.flatnonzero(weight > low)
         if not len(has):
             break
-        parts.append((row[has], mix(value[has] + np.uint64(high) * _STEP), weight[has].astype(float), np.full(len(has), float(low)), np.full(len(has), float(high - low))))
+        parts.append((row[has], mix(value[has] + np.uint64(high * int(_STEP) % (1 << 64))), weight[has].astype(float), np.full(len(has), float(low)), np.full(len(has), float(high - low))))
         low, high = high, high * 2
     if not parts:
         return least
