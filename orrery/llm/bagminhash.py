@@ -6,7 +6,7 @@ the shell and a slot of the signature; points beyond the shingle's weight are pa
 agree with the probability of the weighted Jaccard similarity. A text stops drawing when no later point can lower a slot.
 
 Texts with equal words are first collapsed. Within a band bucket, every member is held against the bucket's pivot and its
-predecessor, both by an order of the band's own; pairs are verified on the whole multisets. So the pairs grow with the
+predecessor, both by one of a few orders that bands take in turn; pairs are verified on the whole multisets. So the pairs grow with the
 members, not with their square; a link that no band offers through pivot or predecessor can be missed, if no chain of other links joins
 its two texts. Classes are the connected components, found by label propagation with pointer jumping.
 
@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 6
 SALTS = 8
+#: Orders of members that bands take in turn.
+ORDERS = 2
 #: Members of a bucket that one task orders.
 RUN = 4096
 
@@ -98,11 +100,12 @@ def band_hashes(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _signed(docs: DataFrame, id_col: str, text: str, bands: int, rows: int) -> DataFrame:
-    """Per row: rid, id, row, t, n_words, h1, h2 (of the words in order) and the band hashes."""
+def _signed(docs: DataFrame, id_col: str, text: str, bands: int, rows: int, whole: bool) -> DataFrame:
+    """Per row: rid, id, row (all columns if ``whole``, else the text alone), n_words, h1, h2 (of the words in order) and the band hashes."""
     bounded_batches(docs.sparkSession)
-    kept = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("id"), body(docs, text).alias("t"), F.struct(*docs.columns).alias("row"))
-    names = ["rid", "id", "t", "row"]
+    columns = docs.columns if whole else [text]
+    kept = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("id"), F.struct(*columns).alias("row"), body(docs, text).alias("t"))
+    names = ["rid", "id", "row"]
     types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +134,7 @@ def _signed(docs: DataFrame, id_col: str, text: str, bands: int, rows: int) -> D
 
 def candidates(reps: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of representatives that share a bucket as pivot or predecessor and member."""
-    banded = keep(reps.select("rid", F.posexplode("bands").alias("band", "bucket")).withColumn("turn", F.xxhash64("rid", "band")), "banded")
+    banded = keep(reps.select("rid", F.posexplode("bands").alias("band", "bucket")).withColumn("turn", F.xxhash64("rid", F.pmod("band", F.lit(ORDERS)))), "banded")
     full = banded.groupBy("bucket").agg(F.min_by("rid", "turn").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     full = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("bucket", "bk")
     members = banded.withColumn("own", F.pmod("turn", F.lit(SALTS)).cast("int"))
@@ -158,14 +161,18 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 
 def links(signed: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose similarity is at least ``least``."""
-    texts = signed.select(F.col("rid").alias("r"), "t")
-    salted = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hot = keep(pairs.groupBy("a").count().filter("count > 64").select(F.col("a").alias("h")), "busy")
-    rest = pairs.join(hot, pairs.a == hot.h, "left")
-    with_b = rest.join(texts.select(F.col("r").alias("b"), F.col("t").alias("tb")), "b")
-    cool = with_b.filter("h IS NULL").join(texts.select(F.col("r").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
-    busy_texts = salted.join(hot, F.col("r") == F.col("h"), "left_semi").select(F.col("r").alias("a"), F.col("t").alias("ta"), "salt")
-    busy = with_b.filter("h IS NOT NULL").withColumn("salt", F.pmod("b", F.lit(SALTS)).cast("int")).join(busy_texts, ["a", "salt"]).select("a", "b", "ta", "tb")
+    # The file size of copies tells little about their size in memory, so texts are never broadcast: all these joins sort and merge.
+    need = keep(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "need")
+    texts = keep(signed.select("rid", "t").hint("merge").join(need, F.col("rid") == F.col("r"), "left_semi").withColumnRenamed("rid", "r"), "texts")
+    busy = keep(pairs.groupBy("a").count().filter("count > 64").select(F.col("a").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")), "busy")
+    # Each pair's key is a with a salt if a is busy, else a with salt 0; the text of a busy a comes once for each salt.
+    hot = busy.filter("s = 0").select("h")
+    dealt = pairs.join(hot, pairs.a == hot.h, "left").select("a", "b", F.when(F.col("h").isNull(), 0).otherwise(F.pmod("b", F.lit(SALTS))).cast("int").alias("salt"))
+    owner = texts.join(hot.withColumn("n", F.lit(SALTS)), texts.r == hot.h, "left").select(
+        F.col("r").alias("a"), F.col("t").alias("ta"), F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("salt")
+    )
+    with_b = dealt.hint("merge").join(texts.select(F.col("r").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
+    both = with_b.hint("merge").join(owner.hint("merge"), ["a", "salt"]).select("a", "b", "ta", "tb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bag = None, None
@@ -178,7 +185,7 @@ def links(signed: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
                 ok.append(similarity(bag, _bag(batch.column("tb")[i].as_py())) >= least)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(c, ok) if y], pa.int64()) for c in (a, b)], names=["a", "b"])
 
-    return cool.unionByName(busy).mapInArrow(verify, "a bigint, b bigint")
+    return both.mapInArrow(verify, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,13 +202,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, signed). rows has one per row of ``docs``: rid, id, class_id (least id of the class), class_size, kept (one row per class)."""
-    signed = keep(_signed(docs, id_col, text, bands, rows), "signed")
+    signed = keep(_signed(docs, id_col, text, bands, rows, whole), "signed")
+    signed = signed.withColumn("t", F.coalesce(F.col("row")[text].cast("string"), F.lit("")))
     some = signed.filter("n_words > 0")
     copies = keep(some.groupBy("h1", "h2").agg(F.min("rid").alias("rep")), "copies")
-    reps = keep(some.join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "t", "bands"), "reps")
-    found = components(links(reps, keep(candidates(reps), "pairs"), least))
+    reps = some.select("rid", "bands").join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    found = components(links(signed, keep(candidates(reps), "pairs"), least))
     labelled = copies.join(found, copies.rep == found.node, "left").select("h1", "h2", F.coalesce("label", "rep").alias("label"))
     words = F.col("n_words") > 0
     # Texts without words have keys of their own, so that they meet no label and don't gather in one task.
@@ -220,5 +228,5 @@ def near_classes(docs: DataFrame, **options) -> DataFrame:
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, with all its columns: the one with the least id."""
-    found, signed = classes(docs, **options)
+    found, signed = classes(docs, whole=True, **options)
     return signed.join(found.filter("kept").select("rid"), "rid", "left_semi").select("row.*")
