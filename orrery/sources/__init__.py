@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +48,16 @@ def read_clouds(spark: SparkSession, folder: str, rendering: int = 0) -> DataFra
     schema = "path string, point_id long, x double, y double, z double, r double, g double, b double, label double, error string"
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    fields = pa.schema([(n, kinds[c.split()[1]]) for n, c in zip(names, schema.split(", "))])
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields], schema=fields)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                a, error = np.load(io.BytesIO(content), allow_pickle=False), None
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                a, error = np.load(io.BytesIO(content.as_py()), allow_pickle=False), None
                 if a.ndim == 3 and a.shape[2] == 5:
                     a = a[:, :, rendering]
                 elif a.ndim == 3 and a.shape[0] == 5:
@@ -60,12 +67,11 @@ def read_clouds(spark: SparkSession, folder: str, rendering: int = 0) -> DataFra
                 elif a.shape[1] != 4 and a.shape[1] < 6:
                     error = f"unsupported channels {a.shape[1]}"
                 if error:
-                    yield pd.DataFrame([{"path": path, "error": error}]).reindex(columns=names)
+                    yield rows(1, path=[path], error=[error])
                     continue
+                at = {"x": 0, "y": 1, "z": 2} | ({"label": 3} if a.shape[1] == 4 else {"r": 3, "g": 4, "b": 5})
                 a = a.astype(float)
-                out = pd.DataFrame({"path": path, "point_id": np.arange(len(a)), "x": a[:, 0], "y": a[:, 1], "z": a[:, 2]})
-                fields = {"label": 3} if a.shape[1] == 4 else {"r": 3, "g": 4, "b": 5}
-                yield out.assign(**{k: a[:, i] for k, i in fields.items()}).reindex(columns=names)
+                yield rows(len(a), path=[path] * len(a), point_id=np.arange(len(a)), **{k: a[:, i] for k, i in at.items()})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", "content").mapInPandas(decode, schema)
+    return files.select("path", "content").mapInArrow(decode, schema)
