@@ -15,6 +15,7 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import body, bounded_batches, mix
 
-#: Distinct pre-tokens whose ids a worker remembers.
-REMEMBERED = 1 << 17
+#: Distinct pre-tokens after which a worker's memo of ids is set aside; the one set aside before is forgotten then.
+REMEMBERED = 1 << 18
+#: Characters of texts that are split and looked up together; a longer text is a group of its own.
+GROUP_CHARS = 1 << 20
 
 
 class PerfectHash:
@@ -74,73 +77,86 @@ class Encoder:
         self.split = regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
         entries = list(ranks)
+        self.two = [ranks.get(bytes(divmod(p, 256))) for p in range(1 << 16)]
         self.hash = PerfectHash(entries)
         self.entry: list[bytes] = [b""] * len(entries)
         for place, token in zip(self.hash.places(entries).tolist(), entries):
             self.entry[place] = token
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a piece: the pair of lowest rank merges first, the leftmost of equal ones."""
         n = len(piece)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        end = list(range(1, n + 1))
-        alive = [True] * n
-        heap = []
-        ranks = self.ranks
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
-                heap.append((r, i, i + 2))
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        after = list(range(1, n + 1))  # of a live part, where it ends; of a part merged into another, -1
+        before = list(range(-1, n))
+        rank, push, pop = self.ranks.get, heapq.heappush, heapq.heappop
+        two = self.two
+        heap = [(r << bits | i) << bits | i + 2 for i, (a, b) in enumerate(pairwise(piece)) if (r := two[a << 8 | b]) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            x = pop(heap)
+            i, stop = x >> bits & mask, x & mask
             j = after[i]
-            if not alive[i] or j >= n or end[j] != stop:
+            if j < 0 or j >= n or after[j] != stop:
                 continue
-            alive[j] = False
-            end[i] = stop
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                r = ranks.get(piece[i : end[k]])
-                if r is not None:
-                    heapq.heappush(heap, (r, i, end[k]))
+            after[i], after[j] = stop, -1
+            if stop < n:
+                before[stop] = i
+                end = after[stop]
+                if (r := rank(piece[i:end])) is not None:
+                    push(heap, (r << bits | i) << bits | end)
             h = before[i]
-            if h >= 0:
-                r = ranks.get(piece[h:stop])
-                if r is not None:
-                    heapq.heappush(heap, (r, h, stop))
+            if h >= 0 and (r := rank(piece[h:stop])) is not None:
+                push(heap, (r << bits | h) << bits | stop)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(self.ranks[piece[i : after[i]]])
             i = after[i]
         return tuple(out)
 
     def learn(self, pieces: Iterable[str]) -> None:
+        """Put the ids of ``pieces`` into the memo: whole entries by the perfect hash, the rest by merging."""
         texts = list(pieces)
         keys = [p.encode() for p in texts]
         for text, key, place in zip(texts, keys, self.hash.places(keys).tolist()):
             whole = place >= 0 and self.entry[place] == key
             self.memo[text] = (self.ranks[key],) if whole else self.merge(key)
 
-    def encode(self, text: str) -> list[int]:
-        pieces = self.split.findall(text)
-        distinct = set(pieces)
-        if len(self.memo) + len(distinct) > REMEMBERED:
-            self.memo.clear()
+    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of each text; texts of together up to ``GROUP_CHARS`` characters are looked up at a time."""
+        group, size = [], 0
+        for text in texts:
+            if group and size + len(text) > GROUP_CHARS:
+                yield from self._encode_group(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        if group:
+            yield from self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> list[list[int]]:
+        split = [self.split.findall(t) for t in texts]
+        distinct = set().union(*split)
+        if len(self.memo) > REMEMBERED:
+            self.older, self.memo = self.memo, {}
         new = distinct.difference(self.memo)
+        if new and self.older:
+            known = new.intersection(self.older)
+            self.memo.update((p, self.older[p]) for p in known)
+            new -= known
         if new:
             self.learn(new)
-        memo, ids = self.memo, []
-        for p in pieces:
-            ids.extend(memo[p])
-        return ids
+        ids = self.memo.__getitem__
+        return [list(chain.from_iterable(map(ids, pieces))) for pieces in split]
+
+    def encode(self, text: str) -> list[int]:
+        return self._encode_group([text])[0]
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids])
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -159,7 +175,7 @@ def tokenise(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            ids = [enc.encode(x.as_py()) for x in batch.column("t")]
+            ids = list(enc.encode_all(batch.column("t").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>")
@@ -172,13 +188,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        sha = hashlib.sha256
+        sha, decimal = hashlib.sha256, {i: str(i) for i in enc.bytes_of}.__getitem__
         for batch in batches:
             n, coded, decoded = [], [], []
-            for x in batch.column("t"):
-                ids = enc.encode(x.as_py())
+            for ids in enc.encode_all(batch.column("t").to_pylist()):
                 n.append(len(ids))
-                coded.append(sha(",".join(map(str, ids)).encode()).hexdigest())
+                coded.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
                 decoded.append(sha(enc.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
