@@ -5,10 +5,12 @@ Each shell of a shingle carries a Poisson process of points, a rate of one per u
 the shell and a slot of the signature; points beyond the shingle's weight are passed over. A slot keeps its least point, so two slots
 agree with the probability of the weighted Jaccard similarity. A text stops drawing when no later point can lower a slot.
 
-Texts with equal words are first collapsed. Within a band bucket, every member is held against the bucket's pivot and its
-predecessor, both by one of a few orders that bands take in turn; pairs are verified on the whole multisets. So the pairs grow with the
-members, not with their square; a link that no band offers through pivot or predecessor can be missed, if no chain of other links joins
-its two texts. Classes are the connected components, found by label propagation with pointer jumping.
+Texts with equal words are first collapsed. In a first pass every member of a band bucket is held against the bucket's pivot and
+its predecessor, both by one of a few orders that bands take in turn; that settles buckets whose members then are of one class. The
+members of all other buckets go through an exact second pass: ranked from rare to common, two similar multisets share an
+element among the first few of both, so texts of different classes that share one are pairs. Pairs of both passes are verified on the
+whole multisets. So every pair of similar texts that share a bucket ends in one class, whatever the first pass offered.
+Classes are the connected components, found by label propagation with pointer jumping.
 
 Defined cases: a null text is empty; texts without words are each a class of their own; a text of one to four words is one
 shingle. Null ids come last and are rows of their own. An empty table gives no rows.
@@ -35,6 +37,8 @@ SALTS = 8
 ORDERS = 2
 #: Members of a bucket that one task orders.
 RUN = 4096
+#: Counters of shingles by hash, for the ranks of the exact pass; any counts give the same links, good ones give fewer pairs.
+COUNTERS = 1 << 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,17 +136,81 @@ def _signed(docs: DataFrame, id_col: str, text: str, bands: int, rows: int, whol
     return kept.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", n_words bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of representatives that share a bucket as pivot or predecessor and member."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowd). pairs: distinct (a, b), a < b, of representatives that share a bucket as pivot or predecessor and member. crowd:
+    (rid, bucket) of the buckets with more than two members, of which pairs needn't have all pairs."""
     banded = keep(reps.select("rid", F.posexplode("bands").alias("band", "bucket")).withColumn("turn", F.xxhash64("rid", F.pmod("band", F.lit(ORDERS)))), "banded")
     full = banded.groupBy("bucket").agg(F.min_by("rid", "turn").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     full = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("bucket", "bk")
     members = banded.withColumn("own", F.pmod("turn", F.lit(SALTS)).cast("int"))
-    inside = members.join(full, (F.col("bucket") == F.col("bk")) & (F.col("own") == F.col("salt")))
+    inside = keep(members.join(full, (F.col("bucket") == F.col("bk")) & (F.col("own") == F.col("salt"))).select("rid", "bucket", "turn", "pivot", "n"), "inside")
     runs = inside.withColumn("run", F.pmod(F.xxhash64("turn"), F.ceil(F.col("n") / RUN)))
     runs = runs.withColumn("before", F.lag("rid").over(W.partitionBy("bucket", "run").orderBy("turn")))
     pairs = runs.select("rid", F.explode(F.array("pivot", "before")).alias("other")).filter("other IS NOT NULL AND other <> rid")
-    return pairs.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
+    return pairs.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct(), inside.filter("n > 2").select("rid", "bucket")
+
+
+def unsettled(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rid, label) of the members of buckets with more than one label; a text without a label is its own."""
+    named = keep(crowd.join(labels, crowd.rid == labels.node, "left").select("rid", "bucket", F.coalesce("label", "rid").alias("label")), "named")
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    return named.join(mixed, "bucket", "left_semi").select("rid", "label").distinct()
+
+
+def _elements(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row, shingle, occurrence) of passes over the texts ``t``: multisets as sets of numbered shingles."""
+    raw, offsets = string_buffers(batch.column("t"))
+    for i, j in passes(offsets):
+        row, value, weight = shingles(Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), j - i)
+        nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+        yield i, np.repeat(row, weight), np.repeat(value, weight), nth
+
+
+def crowded(texts: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b), a < b, with all pairs of similarity ``least`` or more and different labels. ``texts``: rid, label, t.
+
+    With sizes x <= y, similar sets share at least 2 * least / (1 + least) * x and least * y elements. So by any order of
+    elements, the least one they share is within the first x - that + 1 of the smaller and y - that + 1 of the larger.
+    """
+    spark = texts.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, value, nth in _elements(batch):
+                total += np.bincount((value[nth == 0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+
+    found = texts.select("t").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    table = np.zeros(COUNTERS, np.int64)
+    table[found["k"].to_numpy()] = found["n"].to_numpy()
+    counts = spark.sparkContext.broadcast(table)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, row, value, nth in _elements(batch):
+                rank = counts.value[(value % np.uint64(COUNTERS)).astype(np.int64)]
+                token = mix(value + nth.astype(np.uint64) * _STEP)
+                order = np.lexsort((token, value, rank, row))
+                row, token = row[order], token[order]
+                size = np.bincount(row)
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                size = size[row]
+                probe = place <= size - np.ceil(least * size - 1e-6)
+                index = place <= size - np.ceil(2 * least / (1 + least) * size - 1e-6)
+                columns = [batch.column(c).take(pa.array(row[probe] + i)) for c in ("rid", "label")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(size[probe]), pa.array(token[probe].view(np.int64)), pa.array(index[probe])], names=["rid", "label", "size", "token", "index"])
+
+    tokens = keep(texts.select("rid", "label", "t").mapInArrow(prefix, "rid bigint, label bigint, size bigint, token bigint, index boolean"), "tokens")
+    shared = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main")).filter("low <> high")
+    shared = keep(tokens.join(shared.select("token", "main"), "token").withColumn("is_main", F.col("label") == F.col("main")).drop("main"), "shared")
+    # Members of a token's commonest class meet only those of other classes: main ones are sought in part 0, and found in part 1.
+    seek = shared.filter("index").withColumn("part", F.explode(F.when(F.col("is_main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    offer = shared.select(F.col("rid").alias("r"), F.col("label").alias("l"), F.col("size").alias("z"), "token", F.col("is_main").cast("int").alias("part"))
+    near = (F.col("label") != F.col("l")) & (F.struct("size", "rid") < F.struct(F.col("z").alias("size"), F.col("r").alias("rid"))) & (F.col("z") * least <= F.col("size") + 1e-6)
+    both = seek.hint("merge").join(offer.hint("merge"), ["token", "part"]).filter(near)
+    return both.select(F.least("rid", "r").alias("a"), F.greatest("rid", "r").alias("b")).distinct()
 
 
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +277,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     some = signed.filter("n_words > 0")
     copies = keep(some.groupBy("h1", "h2").agg(F.min("rid").alias("rep")), "copies")
     reps = some.select("rid", "bands").join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    found = components(links(signed, keep(candidates(reps), "pairs"), least))
+    offered, crowd = candidates(reps)
+    found = keep(components(links(signed, keep(offered, "pairs"), least)), "found")
+    open_texts = keep(unsettled(crowd, found), "unsettled")
+    if not open_texts.isEmpty():
+        texts = keep(signed.select("rid", "t").hint("merge").join(open_texts.hint("merge"), "rid"), "open")
+        own = open_texts.select(F.col("rid").alias("r"), "label")
+        late = links(signed, keep(crowded(texts, least), "late"), least)
+        late = late.join(own, late.a == own.r).select(F.col("label").alias("a"), "b").join(own, F.col("b") == own.r).select("a", F.col("label").alias("b")).distinct()
+        merged = keep(components(late).select(F.col("node").alias("from"), F.col("label").alias("to")), "merged")
+        # A label without links is that of a text of its own, which late links may give one.
+        nodes = found.unionByName(open_texts.filter("rid = label").select(F.col("rid").alias("node"), "label")).distinct()
+        found = nodes.join(merged, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
     labelled = copies.join(found, copies.rep == found.node, "left").select("h1", "h2", F.coalesce("label", "rep").alias("label"))
     words = F.col("n_words") > 0
     # Texts without words have keys of their own, so that they meet no label and don't gather in one task.

@@ -166,6 +166,27 @@ def test_near_dedup(spark):
     assert bagminhash.near_dedup(df).count() == 43
 
 
+def crowd(n=400, seed=5):
+    """Texts of one template with a part of their own, similar to each other by less than 0.8; every tenth has a partner by more."""
+    rng = np.random.default_rng(seed)
+    template, rows = words(300, 77), []
+    for i in range(n):
+        own = [f"o{x}" for x in rng.integers(0, 1 << 40, 40)]
+        rows.append((2 * i, f"{template} {' '.join(own)}"))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, f"{template} {' '.join(own[:3])} " + " ".join(f"p{x}" for x in rng.integers(0, 1 << 40, 37))))
+    return rows
+
+
+def test_near_dedup_crowd(spark):
+    rows = crowd()
+    bags = {i: bagminhash._bag(t) for i, t in rows}
+    assert bagminhash.similarity(bags[0], bags[1]) >= 0.8 > bagminhash.similarity(bags[0], bags[2]) > 0.6
+    got = {r.id: r for r in bagminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[i].class_id == i - i % 2 for i, _ in rows)
+    assert sum(r.class_size == 2 for r in got.values()) == 80
+
+
 def test_signatures_are_unbiased():
     a = (np.arange(100, dtype=np.uint64), np.r_[np.full(60, 3), np.full(40, 1)])
     b = (np.arange(20, 120, dtype=np.uint64), np.r_[np.full(60, 2), np.full(40, 5)])
