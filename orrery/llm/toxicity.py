@@ -6,8 +6,8 @@ The lexicon holds the folded words that come in clearly more of the toxic than o
 logarithm of the ratio of their shares. A hit doesn't count inside an exception phrase: a word pair around a lexicon word
 that clean training texts have and toxic ones don't. The summed weight, per text and per word, enters a logistic model.
 
-Bounds, as parameters: ``MAX_TERMS`` words and ``MAX_PHRASES`` phrases (the strongest; they reach the workers by value), and
-``SAMPLE`` labelled texts for the two-feature model (those of least hash). Word counts cover all labelled training texts.
+All words and phrases that pass the tests are kept; they reach the workers by value, so the driver holds them. Only the two-feature
+model is bounded, by ``SAMPLE`` labelled texts (those of least hash). Word counts cover all labelled training texts.
 
 Defined cases: a null or empty text has no hits and gets the lowest score; a null label is left out; without training
 texts of both labels every score is 0; an empty table gives no rows. Texts of any length are read whole.
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import body, bounded_batches, crc_remainder, keep
 
-MAX_TERMS = 2000
-MAX_PHRASES = 2000
 SAMPLE = 20000
 #: Least texts with a lexicon word, least log ratio of shares, least chi-square.
 MIN_TEXTS, MIN_WEIGHT, MIN_CHI = 3, 1.5, 15.0
@@ -120,9 +118,9 @@ def learn(rows: DataFrame) -> tuple[Lexicon, np.ndarray]:
     weight = F.log((tox + 0.5) / (a + 1.0)) - F.log((cln + 0.5) / (b + 1.0))
     chi = n * F.pow(tox * (b - cln) - cln * (a - tox), F.lit(2.0)) / ((tox + cln) * (n - tox - cln) * float(a) * float(b))
     good = _count(rows, "words").withColumn("w", weight).filter((tox >= MIN_TEXTS) & (F.col("w") >= MIN_WEIGHT) & ((tox + cln < n) & (F.coalesce(chi, F.lit(0.0)) >= MIN_CHI)))
-    weights = {r["unit"]: r["w"] for r in good.orderBy(F.desc("toxic"), "unit").limit(MAX_TERMS).collect()}  # at most MAX_TERMS rows
+    weights = {r["unit"]: r["w"] for r in good.orderBy(F.desc("toxic"), "unit").collect()}
     pairs = _count(rows, "pairs", frozenset(weights)).filter((F.col("toxic") == 0) & (F.col("clean") >= MIN_CLEAN))
-    phrases = [r["unit"] for r in pairs.orderBy(F.desc("clean"), "unit").limit(MAX_PHRASES).collect()]  # at most MAX_PHRASES rows
+    phrases = [r["unit"] for r in pairs.orderBy(F.desc("clean"), "unit").collect()]
     lexicon = Lexicon(weights, phrases)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
 

@@ -224,6 +224,14 @@ def test_toxicity(spark):
     assert got[1001].n_hits == 1
 
 
+def test_toxicity_keeps_every_term(spark):
+    letters = "bcdfghjkmn"
+    terms = ["q" + "".join(letters[int(d)] for d in f"{i:04}") + "w" for i in range(2100)]
+    rows = [(k, " ".join(terms)) for k in range(20)] + [(100 + k, words(30, k)) for k in range(40)]
+    lexicon, _ = toxicity.learn(spark.createDataFrame([(i, t, int(i < 100)) for i, t in rows], "id long, t string, y int"))
+    assert set(terms) <= set(lexicon.weights)
+
+
 def test_pii(spark):
     text = "mail a.b@c.example.org or +1 (555) 222-3333, host 10.0.0.255 not 10.0.0.256, card 4111 1111 1111 1111 and 4111 1111 1111 1112 @ x@y"
     df = spark.createDataFrame([(1, text), (2, None), (3, "plain words\nno data")], "doc_id long, text string")
