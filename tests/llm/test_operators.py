@@ -244,6 +244,14 @@ def test_pii(spark):
         assert [s[1:] for s in pii.base_spans(t) if s[0] == "email"] == [m.span() for m in pii._PATTERN["email"].finditer(t)]
 
 
+def extra(text):
+    return [(k, text[a:b]) for k, a, b in pii.added_spans([text], [pii.base_spans(text)])[0]]
+
+
+def test_pii_written_out_address():
+    assert extra("no data\nkelmo wrute jo.fan [at] exmple [dot] com\nplain") == [("email", "jo.fan [at] exmple [dot] com")]
+
+
 def test_viterbi_matches_brute_force():
     import itertools
 
