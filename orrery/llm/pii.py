@@ -212,6 +212,36 @@ _EXTRA = {
 }
 
 
+_OPENER = re.compile(r"(?<!\S)(?:\+|\()")
+
+
+def _items(kind: str, text: str, start: int, stop: int) -> list[tuple[int, int]]:
+    """All items of ``kind`` in a stretch of text. A match that doesn't fit is taken for several items, from word to word:
+    numbers begin anew at an opening sign, and an item is the shortest stretch of words that fits."""
+    out = []
+    while found := _EXTRA[kind].search(text, start, stop):
+        a, start = found.span()
+        if _fits(kind, found.group()):
+            out.append((a, start))
+            continue
+        words = [m.span() for m in _WORD.finditer(text, a, start)]
+        i = 0
+        while i < len(words):
+            step = 1
+            for j in range(i, len(words)):
+                if kind == "phone" and j > i and _OPENER.match(text, words[j][0]) and not (j == i + 1 and text[words[i][0]] == "+"):
+                    break
+                one = _EXTRA[kind].fullmatch(text, words[i][0], words[j][1])
+                if one and _fits(kind, one.group()):
+                    out.append(one.span())
+                    step = j - i + 1
+                    break
+                if len(_DIGIT.findall(text, words[i][0], words[j][1])) > 19:
+                    break
+            i += step
+    return out
+
+
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """Spans of the field beside the base spans."""
     weights, moves = field()
@@ -235,10 +265,14 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]]) -> lis
                 if not labels[a]:
                     continue
                 kind = KINDS[labels[a] - 1]
-                start, stop = words[a][1], words[b - 1][1] + len(words[b - 1][0])
-                found = _EXTRA[kind].search(texts[i], start, stop)
-                if found and _fits(kind, found.group()) and all(found.end() <= s or found.start() >= e for _, s, e in base[i]):
-                    out[i].append((kind, *found.span()))
+                # Stretches of the run's words that touch no base span.
+                first = None
+                for w, at in [*words[a:b], ("", -1)]:
+                    if at >= 0 and all(at + len(w) <= s or at >= e for _, s, e in base[i]):
+                        first, last = at if first is None else first, at + len(w)
+                    elif first is not None:
+                        out[i] += [(kind, *span) for span in _items(kind, texts[i], first, last)]
+                        first = None
     return out
 
 

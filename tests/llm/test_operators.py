@@ -252,6 +252,12 @@ def test_pii_written_out_address():
     assert extra("no data\nkelmo wrute jo.fan [at] exmple [dot] com\nplain") == [("email", "jo.fan [at] exmple [dot] com")]
 
 
+def test_pii_items_side_by_side():
+    for by in (", ", " "):
+        assert [s for _, s in extra(f"(212) 555-1234{by}(415) 555-9876")] == ["(212) 555-1234", "(415) 555-9876"], by
+    assert pii._items("card", "4111 1111 1111 1111 5500 0000 0000 0004", 0, 39) == [(0, 19), (20, 39)]
+
+
 def test_viterbi_matches_brute_force():
     import itertools
 
