@@ -5,8 +5,7 @@ none; it is trained on a small labelled table that a rule with a fixed seed writ
 of words of one kind becomes a span, without punctuation at its ends, if it doesn't touch a base span and has what every
 item of its kind has (an email a name and a host around one sign, the others their number of digits).
 
-Defined cases: a null or empty text has no spans; an empty table gives no rows. Texts of any length are read whole; lines are cut into
-sequences of at most ``CUT`` words for decoding, which the field takes one by one.
+Defined cases: a null or empty text has no spans; an empty table gives no rows. Texts and lines of any length are decoded whole.
 """
 
 from __future__ import annotations
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import body, bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
-CUT = 256
+#: Padded words of one batch of the decoder, or one line.
+GROUP = 1 << 15
 FEATURES = 1 << 12
 #: Sentences of the labelled table, its seed, and passes of training over it.
 SENTENCES, SEED, PASSES = 400, 7, 12
@@ -90,14 +90,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def shape(word: str) -> str:
-    return re.sub(r"(.)\1+", r"\1+", re.sub(r"[^\W\d_]", "x", re.sub(r"[0-9]", "9", word[:64])))
+    return re.sub(r"(.)\1+", r"\1+", re.sub(r"[^\W\d_]", "x", re.sub(r"[0-9]", "9", word)))
 
 
 @lru_cache(maxsize=1 << 15)
 def features(word: str) -> tuple[int, ...]:
     s = shape(word)
-    n = sum(c.isdigit() for c in word[:64])
-    names = ("bias", f"s={s}", f"head={s[:3]}", f"tail={s[-3:]}", f"n={min(n, 20)}", f"at={'@' in word}", f"dots={min(word.count('.'), 4)}", f"plus={word[:1] == '+'}", f"low={word[:64].lower() if not n else ''}")
+    n = sum(c.isdigit() for c in word)
+    names = ("bias", f"s={s}", f"head={s[:3]}", f"tail={s[-3:]}", f"n={min(n, 20)}", f"at={'@' in word}", f"dots={min(word.count('.'), 4)}", f"plus={word[:1] == '+'}", f"low={word.lower() if not n else ''}")
     return tuple(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "little") % FEATURES for x in names)
 
 
@@ -251,14 +251,17 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]]) -> lis
         for line in text.split("\n"):
             if _HINT.search(line):
                 words = [(m.group(), start + m.start()) for m in _WORD.finditer(line)]
-                jobs += [(i, words[j : j + CUT]) for j in range(0, len(words), CUT)]
+                if words:
+                    jobs.append((i, words))
             start += len(line) + 1
     jobs.sort(key=lambda j: len(j[1]))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for g in range(0, len(jobs), 128):
-        group = [j for j in jobs[g : g + 128] if j[1]]
-        if not group:
-            continue
+    g = 0
+    while g < len(jobs):
+        to = g + 1
+        while to < len(jobs) and to - g < 128 and (to - g + 1) * len(jobs[to][1]) <= GROUP:
+            to += 1
+        group, g = jobs[g:to], to
         for (i, words), labels in zip(group, viterbi([_scores(weights, [w for w, _ in ws]) for _, ws in group], moves)):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], labels, [0]])))
             for a, b in zip(edge[:-1], edge[1:]):

@@ -258,6 +258,12 @@ def test_pii_items_side_by_side():
     assert pii._items("card", "4111 1111 1111 1111 5500 0000 0000 0004", 0, 39) == [(0, 19), (20, 39)]
 
 
+def test_pii_long_line():
+    for n in range(252, 257):
+        assert extra(" ".join(["kelmo"] * n) + " jo.fan [at] exmple [dot] com") == [("email", "jo.fan [at] exmple [dot] com")], n
+    assert pii.shape("a" * 70 + "9") == "x+9"
+
+
 def test_viterbi_matches_brute_force():
     import itertools
 
