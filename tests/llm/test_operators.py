@@ -187,6 +187,12 @@ def test_near_dedup_crowd(spark):
     assert sum(r.class_size == 2 for r in got.values()) == 80
 
 
+def test_near_dedup_needs_no_orders(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "ORDERS", 1)
+    got = bagminhash.near_classes(spark.createDataFrame(crowd(150), "doc_id long, text string").repartition(4)).collect()
+    assert all(r.class_id == r.id - r.id % 2 for r in got)
+
+
 def test_signatures_are_unbiased():
     a = (np.arange(100, dtype=np.uint64), np.r_[np.full(60, 3), np.full(40, 1)])
     b = (np.arange(20, 120, dtype=np.uint64), np.r_[np.full(60, 2), np.full(40, 5)])
