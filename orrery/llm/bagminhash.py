@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, body, bounded_batches, keep, mix, passes, string_buffers
+from .common import Words, body, keep, mix, passes, string_buffers
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -106,7 +106,6 @@ def band_hashes(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signed(docs: DataFrame, id_col: str, text: str, bands: int, rows: int, whole: bool) -> DataFrame:
     """Per row: rid, id, row (all columns if ``whole``, else the text alone), n_words, h1, h2 (of the words in order) and the band hashes."""
-    bounded_batches(docs.sparkSession)
     columns = docs.columns if whole else [text]
     kept = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("id"), F.struct(*columns).alias("row"), body(docs, text).alias("t"))
     names = ["rid", "id", "row"]

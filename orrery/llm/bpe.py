@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, bounded_batches, mix
+from .common import body, mix
 
 #: Distinct pre-tokens after which a worker's memo of ids is set aside; the one set aside before is forgotten then.
 REMEMBERED = 1 << 18
@@ -169,7 +169,6 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def tokenise(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, ids (array of int)."""
-    bounded_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), body(docs, text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +182,6 @@ def tokenise(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256 (of the decimal ids, comma-joined), decoded_sha256 (of the decoded bytes)."""
-    bounded_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), body(docs, text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

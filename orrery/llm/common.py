@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass handles; longer texts form a pass of their own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 #: Bytes of an Arrow batch sent to a Python worker.
 BATCH_BYTES = 16 << 20
 #: Characters between words, as a Java and a Python character class.
@@ -23,35 +27,73 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Folder of a session on one machine that has no spark.checkpoint.dir, such as in tests.
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests on one machine)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on one machine, else an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _LOCAL:
+            _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='orrery-')}")
+            atexit.register(shutil.rmtree, _LOCAL[0].removeprefix("file://"), True)
+        folder = _LOCAL[0]
     return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one of this application."""
+    return f"{shared_folder(spark)}/orrery-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as two underscores) for a while; then they are as before."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so a lost executor costs no recomputation."""
+    """``df`` written to the shared folder and read back, so a lost executor costs no recomputation; its shuffles are freed."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(nullable(df.schema)).parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(nullable(df.schema)).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def forget(*kept: DataFrame) -> None:
+    """Delete the files of tables from :func:`keep` that have no more readers."""
+    for df in kept:
+        remove(df.sparkSession, df._kept_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Cap the bytes of Arrow batches, since rows may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bounded_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """For a while, small Arrow batches, since rows may be long, and shuffles freed when a query ends."""
+    return settings(
+        spark, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"
+    )
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -87,15 +129,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_GOLDEN))
-_POWERS = np.ones(1, dtype=np.uint64)
+#: The same with capital letters A-Z taken for small ones.
+_BYTE_LOWER = np.concatenate([_BYTE[:65], _BYTE[97:123], _BYTE[91:]])
+_BASE = 0xD1342543DE82EF95
+#: Powers of the base and of its inverse, as far as needed so far.
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        size = max(n, 2 * len(_POWERS))
-        _POWERS = np.concatenate([[np.uint64(1)], np.full(size - 1, 0xD1342543DE82EF95, dtype=np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64)
-    return _POWERS[:n]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            row = np.full(n + (n >> 2), base, dtype=np.uint64)
+            row[0] = 1
+            _POWERS[i] = np.multiply.accumulate(row)
+    return _POWERS[0][:n], _POWERS[1]
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,32 +168,35 @@ def passes(offsets: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts: byte starts, lengths, hashes and the row each belongs to."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts: byte starts, lengths, hashes and the row each belongs to.
+
+    The hash of a word is a polynomial of its bytes' codes modulo 2^64, from sums over all bytes before its start and its end.
+    """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        n = len(raw)
-        solid = ~_IS_SPACE[raw]
-        first = solid.copy()
-        first[1:] &= ~solid[:-1]
+        n, rows = len(raw), len(offsets) - 1
+        solid = np.zeros(n + 1, bool)
+        np.logical_not(_IS_SPACE[raw], out=solid[:n])
+        edge = np.empty(n + 1, bool)
+        edge[0], edge[1:] = solid[0], solid[1:] != solid[:-1]
+        at = np.flatnonzero(edge)
+        start, stop = at[0::2], at[1::2]
+        # A text may end and the next one begin without a space between them.
         cuts = offsets[1:-1]
-        cuts = cuts[cuts < n]
-        first[cuts] |= solid[cuts]
-        self.start = np.flatnonzero(first)
-        packed = raw[solid]
-        if lower:
-            packed = packed + ((packed >= 65) & (packed <= 90)).astype(np.uint8) * np.uint8(32)
-        rank = np.cumsum(solid)
-        head = rank[self.start] - 1 if len(self.start) else np.zeros(0, np.int64)
-        self.length = np.diff(np.append(head, len(packed)))
-        self.row = np.searchsorted(offsets, self.start, side="right") - 1
-        self.count = np.bincount(self.row, minlength=len(offsets) - 1).astype(np.int64)
-        self.packed, self.head = packed, head
-        if len(head):
-            place = np.arange(len(packed)) - np.repeat(head, self.length)
-            value = np.add.reduceat(_BYTE[packed] * _powers(int(self.length.max()))[place], head)
-            self.hash = mix(value + self.length.astype(np.uint64) * np.uint64(_GOLDEN))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        cuts = np.unique(cuts[(cuts > 0) & (cuts < n)])
+        cuts = cuts[solid[cuts] & solid[cuts - 1]]
+        if len(cuts):
+            start, stop = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([stop, cuts]))
+        self.start, self.length = start, stop - start
+        self.count = np.diff(np.searchsorted(start, offsets)).astype(np.int64)
+        self.row = np.repeat(np.arange(rows), self.count)
+        power, inverse = _powers(n)
+        code = (_BYTE_LOWER if lower else _BYTE)[raw]
+        code *= power
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(code, out=total[1:])
+        value = (total[stop] - total[start]) * inverse[start]
+        self.hash = mix(value + self.length.astype(np.uint64) * np.uint64(_GOLDEN))
 
 
 def crc_remainder(doc_id: F.Column, modulus: int) -> F.Column:

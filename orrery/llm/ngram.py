@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, body, bounded_batches, crc_remainder, keep, mix, passes, scratch, string_buffers
+from .common import Words, body, crc_remainder, keep, mix, passes, scratch, string_buffers
 
 FOLDS = 7
 HELD_OUT = 2
@@ -150,7 +150,6 @@ class Model:
 def train(texts: DataFrame) -> Model:
     """Model of a table with a text column ``t``."""
     spark = texts.sparkSession
-    bounded_batches(spark)
     pairs = keep(_count_pairs(texts), "pairs")
     words = keep(pairs.groupBy("tok").agg(F.sum("c").alias("c"), F.count("*").alias("follows")), "words")
     n_tokens, n_words, n_pairs = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum("follows"), F.lit(0))).first()
@@ -180,7 +179,6 @@ def train(texts: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", **more: F.Column) -> DataFrame:
     """Per row: id, the columns ``more``, n_tokens, n_known, base_score, score, perplexity."""
-    bounded_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), *[c.alias(k) for k, c in more.items()], body(docs, text).alias("t"))
     kept = ["id", *more]
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}

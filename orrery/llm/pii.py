@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, bounded_batches
+from .common import body
 
 KINDS = ("email", "ip", "card", "phone")
 #: Padded words of one batch of the decoder, or one line.
@@ -285,7 +285,6 @@ def _digest(spans: list[tuple[str, int, int]]) -> str:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans."""
-    bounded_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), body(docs, text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, body, bounded_batches, fresh, passes, string_buffers
+from .common import Words, body, fresh, passes, string_buffers
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -79,10 +79,11 @@ def _measure(raw: np.ndarray, offsets: np.ndarray, window: int) -> dict[str, np.
     longest = np.zeros(rows, np.int64)
     np.maximum.at(longest, words.row, best)
     owner = np.repeat(np.arange(rows), np.diff(offsets))
-    lead = (words.packed & 0xC0) != 0x80
+    # Code points before each byte, of which spaces between words don't count.
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     return {
         "n_words": words.count,
-        "word_chars": np.bincount(np.repeat(words.row, words.length), weights=lead, minlength=rows).astype(np.int64),
+        "word_chars": np.bincount(words.row, weights=points[words.start + words.length] - points[words.start], minlength=rows).astype(np.int64),
         "n_symbols": np.bincount(owner, weights=_SYMBOL[raw], minlength=rows).astype(np.int64),
         "n_repeat_words": np.bincount(words.row, weights=covered, minlength=rows).astype(np.int64),
         "longest_repeat": longest,
@@ -99,7 +100,6 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
 
     With ``keep_columns`` all columns of ``docs`` stay, in the struct ``row``.
     """
-    bounded_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), body(docs, text).alias("t"), *([F.struct(*docs.columns).alias("row")] if keep_columns else []))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
     kept = ["id"] + (["row"] if keep_columns else [])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, bounded_batches, crc_remainder, keep
+from .common import body, crc_remainder, keep
 
 SAMPLE = 20000
 #: Least texts with a lexicon word, least log ratio of shares, least chi-square.
@@ -151,7 +151,6 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) ->
 
 def score(docs: DataFrame, lexicon: Lexicon, model: np.ndarray, id_col: str = "doc_id", text: str = "text", **more: F.Column) -> DataFrame:
     """Per row: id, the columns ``more``, n_hits and score (0 to 1)."""
-    bounded_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), *[c.alias(k) for k, c in more.items()], body(docs, text).alias("t"))
     kept = ["id", *more]
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
@@ -171,7 +170,6 @@ def score(docs: DataFrame, lexicon: Lexicon, model: np.ndarray, id_col: str = "d
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, fold_out: int = 1) -> DataFrame:
     """Learn from labelled rows outside the held-out fold, and score all rows."""
-    bounded_batches(docs.sparkSession)
     held = crc_remainder(docs[id_col], folds) == fold_out
     lexicon, model = learn(_train_rows(docs, labels, held, id_col, text, label))
     return score(docs, lexicon, model, id_col, text, held_out=held)

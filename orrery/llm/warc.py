@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, bounded_batches, keep, scratch
+from .common import body, keep, scratch
 
 LEAST = 1000
 SPLIT = 8 << 20
@@ -179,7 +179,6 @@ def read(spark: SparkSession, folder: str, split: int = SPLIT, payloads: bool =
 
     A response's payload is held against its stated digest; a revisit has none.
     """
-    bounded_batches(spark)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()),

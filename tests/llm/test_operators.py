@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orrery.llm import bagminhash, bpe, exact_dedup, mixing, ngram, pii, suffix_quality, token_records, toxicity, warc
@@ -128,12 +129,39 @@ def test_token_records(spark, docs, tmp_path):
             ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
             assert (got[i].start, got[i].n_tokens, bytes(got[i].ids)) == (start, len(ids), ids.tobytes())
             start += len(ids)
+    row = spark.read.parquet(f"{folder}/index").first()
+    assert row.wide == 2
     broken = bytearray(token_records.frame(b"abcd"))
     broken[13] ^= 1
     with pytest.raises(ValueError):
         token_records.unframe(bytes(broken))
 
 
+def test_token_encoder_equals_library():
+    path = P.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), token_records.encoder(path)
+    rng = np.random.default_rng(11)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\0", "a", "don't", "it's'", "'", "''re", "12³4", "x1", "é", "ñandú", "ǅ", "字", "\u0378", "😀!", "<|endoftext|>", "...", "_", "-", "the", "ª", "½"]
+    texts = ["", "x <|endoftext|> y", "<|endoftext|>", " <|endoftext|>", *["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(3000)]]
+    for t in texts * 2:
+        assert np.frombuffer(enc.encode(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert 50256 not in np.frombuffer(token_records.Encoder(path, special_as_text=True).encode("x <|endoftext|> y"), "<u2")
+
+
+def test_token_records_in_scan_order(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, f"text {i} <|endoftext|>") for i in range(40)], "doc_id long, text string")
+    folder = f"file://{tmp_path}"
+    rows.coalesce(1).write.parquet(f"{folder}/in")
+    one = spark.read.parquet(f"{folder}/in")
+    assert token_records._in_order(one.select(F.col("doc_id").alias("id"))) is not None
+    assert token_records._in_order(rows.orderBy(F.desc("doc_id")).select(F.col("doc_id").alias("id"))) is None
+    assert token_records._in_order(rows.unionByName(rows).select(F.col("doc_id").alias("id"))) is None
+    token_records.write(one, P.path("byte_bpe_50k.json"), f"{folder}/a")
+    token_records.write(rows.orderBy(F.desc("doc_id")), P.path("byte_bpe_50k.json"), f"{folder}/b")
+    a, b = (sorted(map(tuple, token_records.read_back(spark, f"{folder}/{x}").collect())) for x in "ab")
+    assert a == b and len(a) == 40
+
+
 def test_warc(spark, tmp_path):
     trap = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     big = "é" * 700
