@@ -1,13 +1,16 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding.
 
 Folding makes look-alike letters of other scripts, accented letters and digits or signs that stand for letters into plain letters; ``l``
-becomes ``i``, since 1 stands for both. Everything else separates words, so a folded text is words between single spaces.
+becomes ``i``, since 1 stands for both. Digits and signs of words without any letter stay digits. Everything else separates words, so a
+folded text is words between single spaces.
 The lexicon holds the folded words that come in clearly more of the toxic than of the clean training texts, weighted by the
 logarithm of the ratio of their shares. A hit doesn't count inside an exception phrase: a word pair around a lexicon word
-that clean training texts have and toxic ones don't. The summed weight, per text and per word, enters a logistic model.
+that enough clean training texts have, and no toxic one, to be unlikely by chance given the word. The summed weight, per text and per
+word, enters a logistic model.
 
-All words and phrases that pass the tests are kept; they reach the workers by value, so the driver holds them. Only the two-feature
-model is bounded, by ``SAMPLE`` labelled texts (those of least hash). Word counts cover all labelled training texts.
+All words and phrases that pass the tests are kept, as a table in the shared folder from which each worker builds its automaton; none
+pass through the driver. Only the two-feature model is bounded, by ``SAMPLE`` labelled texts (those of least hash), of which the driver
+gets two numbers and the label each. Word counts cover all labelled training texts.
 
 Defined cases: a null or empty text has no hits and gets the lowest score; a null label is left out; without training
 texts of both labels every score is 0; an empty table gives no rows. Texts of any length are read whole.
@@ -18,20 +21,26 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log1p
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, crc_remainder, keep
+from .common import body, crc_remainder, forget, keep
 
 SAMPLE = 20000
 #: Least texts with a lexicon word, least log ratio of shares, least chi-square.
 MIN_TEXTS, MIN_WEIGHT, MIN_CHI = 3, 1.5, 15.0
-MIN_CLEAN = 3
+#: Clean texts that an exception phrase comes in at least, and how likely they may be by chance.
+MIN_CLEAN, CHANCE = 3, 0.01
+#: Files that a worker reads to build its automaton.
+LEXICON_FILES = 4
 THRESHOLD = 0.7
 
 # Letters of other scripts, digits and signs, and the letters they look like.
@@ -42,13 +51,22 @@ _PLAIN = {ord(k): v for pairs in (_LOOK_ALIKE, _STANDS_FOR) for k, v in zip(pair
 _WORD = re.compile(r"[^\W_]+")
 
 
+#: Words of digits and signs alone.
+_BARE = re.compile(r"(?<![^\W_]|[$@!|])[0-9$@!|]+(?![^\W_]|[$@!|])")
+_SIGNS = str.maketrans("$@!|", "    ")
+
+
 def fold(text: str) -> list[str]:
-    """Folded words. Signs that stand for letters count only between or after word characters, digits only beside letters."""
+    """Folded words. Signs and digits stand for letters in words that hold a letter; ``!`` and ``|`` only between letters or digits."""
     text = text.casefold()
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    text = re.sub(r"(?<![^\W\d_])[!|]|[!|](?![^\W\d_])", " ", text)
-    return _WORD.findall(text.translate(_PLAIN))
+    text = re.sub(r"(?<![^\W_])[!|]|[!|](?![^\W_])", " ", text)
+    out, at = [], 0
+    for m in _BARE.finditer(text):
+        out += [text[at : m.start()].translate(_PLAIN), m.group().translate(_SIGNS)]
+        at = m.end()
+    return _WORD.findall("".join([*out, text[at:].translate(_PLAIN)]))
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame, held: F.Column, id_col: str, text: str, label: str) -> DataFrame:
@@ -57,10 +75,11 @@ def _train_rows(docs: DataFrame, labels: DataFrame, held: F.Column, id_col: str,
     return keep(source.join(marks, source.id == marks.lid).select("id", "t", "y"), "labelled")
 
 
-def _count(rows: DataFrame, units: str, terms: frozenset[str] = frozenset()) -> DataFrame:
+def _count(rows: DataFrame, units: str, lexicon: Lexicon | None = None) -> DataFrame:
     """(unit, toxic, clean): texts of each label that have a word, or a pair of words with a lexicon word in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = lexicon.weights if lexicon else {}
         for batch in batches:
             n: dict[tuple[str, int], int] = {}
             for t, y in zip(batch.column("t"), batch.column("y").to_pylist()):
@@ -76,36 +95,61 @@ def _count(rows: DataFrame, units: str, terms: frozenset[str] = frozenset()) ->
     return counted.groupBy("unit").agg(*[F.coalesce(F.sum(F.when(F.col("y") == v, F.col("n"))), F.lit(0)).alias(c) for c, v in (("toxic", 1), ("clean", 0))])
 
 
+@lru_cache(maxsize=8)
+def _stored(folder: str) -> dict[str, float]:
+    """(unit, w) rows of a stored table, in the order of the units."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    table = pq.read_table(root, filesystem=fs, columns=["unit", "w"])
+    return dict(sorted(zip(table["unit"].to_pylist(), table["w"].to_pylist())))
+
+
+@lru_cache(maxsize=2)
+def _machine(words: str, phrases: str | None) -> ahocorasick.Automaton:
+    machine = ahocorasick.Automaton()
+    for w, v in _stored(words).items():
+        machine.add_word(f" {w} ", (v, len(w) + 2))
+    for p in _stored(phrases) if phrases else ():
+        machine.add_word(f" {p} ", (0.0, len(p) + 2))
+    if len(machine):
+        machine.make_automaton()
+    return machine
+
+
 class Lexicon:
-    def __init__(self, weights: dict[str, float], phrases: list[str]):
-        self.weights, self.phrases, self.machine = weights, phrases, None
+    """Weighted words and exception phrases in stored tables; none without ``words``."""
 
-    def __reduce__(self):
-        return Lexicon, (self.weights, self.phrases)
+    def __init__(self, words: str | None, phrases: str | None = None):
+        self.words, self.phrases_at = words, phrases
 
-    def features(self, text: str) -> tuple[float, float, int]:
-        """(log of the weight per text, weight per 100 words, hits that count)."""
-        if self.machine is None:
-            self.machine = ahocorasick.Automaton()
-            for w, v in self.weights.items():
-                self.machine.add_word(f" {w} ", (v, len(w) + 2))
-            for p in self.phrases:
-                self.machine.add_word(f" {p} ", (0.0, len(p) + 2))
-            if len(self.machine):
-                self.machine.make_automaton()
-        words = fold(text)
-        if not words or not len(self.machine):
-            return 0.0, 0.0, 0
+    @property
+    def weights(self) -> dict[str, float]:
+        return _stored(self.words) if self.words else {}
+
+    @property
+    def phrases(self) -> list[str]:
+        return list(_stored(self.phrases_at)) if self.phrases_at else []
+
+    def hits(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of the lexicon words outside exception phrases, as places in the folded text with a space at each end."""
+        machine = _machine(self.words, self.phrases_at) if self.words else ()
+        if not words or not len(machine):
+            return []
         hits, spans = [], []
-        for end, (weight, length) in self.machine.iter(f" {' '.join(words)} "):
+        for end, (weight, length) in machine.iter(f" {' '.join(words)} "):
             (hits if weight else spans).append((end - length + 1, end, weight))
         if spans and hits:
             starts, ends = np.array([s[0] for s in spans]), np.maximum.accumulate(np.array([s[1] for s in sorted(spans)]))
             starts.sort()
             at = np.searchsorted(starts, [h[0] for h in hits], side="right") - 1
             hits = [h for h, i in zip(hits, at) if i < 0 or ends[i] < h[1]]
+        return hits
+
+    def features(self, text: str) -> tuple[float, float, int]:
+        """(log of the weight per text, weight per 100 words, hits that count)."""
+        words = fold(text)
+        hits = self.hits(words)
         total = sum(h[2] for h in hits)
-        return log1p(total), min(100.0 * total / len(words), 100.0), len(hits)
+        return log1p(total), min(100.0 * total / max(len(words), 1), 100.0), len(hits)
 
 
 def learn(rows: DataFrame) -> tuple[Lexicon, np.ndarray]:
@@ -113,23 +157,32 @@ def learn(rows: DataFrame) -> tuple[Lexicon, np.ndarray]:
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}  # two rows
     a, b = sizes.get(1, 0), sizes.get(0, 0)
     if not a or not b:
-        return Lexicon({}, []), np.array([-np.inf, 0.0, 0.0])
+        return Lexicon(None), np.array([-np.inf, 0.0, 0.0])
     tox, cln, n = F.col("toxic").cast("double"), F.col("clean").cast("double"), float(a + b)
     weight = F.log((tox + 0.5) / (a + 1.0)) - F.log((cln + 0.5) / (b + 1.0))
     chi = n * F.pow(tox * (b - cln) - cln * (a - tox), F.lit(2.0)) / ((tox + cln) * (n - tox - cln) * float(a) * float(b))
-    good = _count(rows, "words").withColumn("w", weight).filter((tox >= MIN_TEXTS) & (F.col("w") >= MIN_WEIGHT) & ((tox + cln < n) & (F.coalesce(chi, F.lit(0.0)) >= MIN_CHI)))
-    weights = {r["unit"]: r["w"] for r in good.orderBy(F.desc("toxic"), "unit").collect()}
-    pairs = _count(rows, "pairs", frozenset(weights)).filter((F.col("toxic") == 0) & (F.col("clean") >= MIN_CLEAN))
-    phrases = [r["unit"] for r in pairs.orderBy(F.desc("clean"), "unit").collect()]
-    lexicon = Lexicon(weights, phrases)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    good = (tox >= MIN_TEXTS) & (F.col("w") >= MIN_WEIGHT) & ((tox + cln < n) & (F.coalesce(chi, F.lit(0.0)) >= MIN_CHI))
+    words = keep(_count(rows, "words").withColumn("w", weight).filter(good).repartition(LEXICON_FILES), "lexicon")
+    only_words = Lexicon(words._kept_at)
+    pairs = _count(rows, "pairs", only_words).filter((tox == 0) & (cln >= MIN_CLEAN))
+    # Of a phrase's lexicon words the likeliest toxic one decides whether so many clean texts and no toxic one are chance.
+    share = words.select(F.col("unit").alias("word"), (tox / (tox + cln)).alias("share"))
+    halves = pairs.select("unit", "clean", F.explode(F.split("unit", " ")).alias("word")).join(share, "word").groupBy("unit").agg(F.max("clean").alias("clean"), F.max("share").alias("share"))
+    sure = F.pow(1.0 - F.col("share"), F.col("clean")) < CHANCE
+    phrases = keep(halves.filter(sure).select("unit", F.lit(0.0).alias("w")).repartition(LEXICON_FILES), "phrases")
+    lexicon = Lexicon(words._kept_at, phrases._kept_at)
+    # Narrow rows alone are put in order: twice the sample by hash, in expectation, then its least ones.
+    rank = F.xxhash64("id", "t")
+    some = rows.withColumn("rank", rank).filter(F.pmod("rank", F.lit(1 << 53)) < F.lit(min(1.0, 2.0 * SAMPLE / n) * (1 << 53)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = [lexicon.features(t.as_py()) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in f], pa.float64()) for i in (0, 1)] + [batch.column("y")], names=["u", "v", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("rank"), *[pa.array([x[i] for x in f], pa.float64()) for i in (0, 1)], batch.column("y")], names=["rank", "u", "v", "y"])
 
-    data = np.array([tuple(r) for r in sample.mapInArrow(run, "u double, v double, y int").collect()], dtype=float)  # at most SAMPLE rows
+    numbers = some.select("rank", "t", "y").mapInArrow(run, "rank bigint, u double, v double, y int")
+    sample = numbers.orderBy(F.pmod("rank", F.lit(1 << 53)), "rank", "u", "v", "y").limit(SAMPLE).select("u", "v", "y")
+    data = np.array([tuple(r) for r in sample.collect()], dtype=float)  # at most SAMPLE rows
     return lexicon, fit(data[:, :2], data[:, 2])
 
 
@@ -171,5 +224,7 @@ def score(docs: DataFrame, lexicon: Lexicon, model: np.ndarray, id_col: str = "d
 def held_out_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, fold_out: int = 1) -> DataFrame:
     """Learn from labelled rows outside the held-out fold, and score all rows."""
     held = crc_remainder(docs[id_col], folds) == fold_out
-    lexicon, model = learn(_train_rows(docs, labels, held, id_col, text, label))
+    rows = _train_rows(docs, labels, held, id_col, text, label)
+    lexicon, model = learn(rows)
+    forget(rows)
     return score(docs, lexicon, model, id_col, text, held_out=held)

@@ -236,17 +236,63 @@ def test_ngram(docs):
     assert (out.held_out == [zlib.crc32(b"" if np.isnan(i) else str(int(i)).encode()) % 7 == 2 for i in out.id]).all()
 
 
-def test_ngram_sums_to_one(spark):
-    texts = spark.createDataFrame([(f"{a} {b}",) for a in "abcde" for b in "abbbcdd"] + [("a b c",), ("e",)], "t string")
-    model = ngram.train(texts)
-    raw = np.frombuffer(b"a a b a c a d a e a", np.uint8)
-    _, token, context = ngram.tokens(raw, np.array([0, len(raw)]))
-    vocab = np.unique(np.append(token, ngram.END))
-    for c in np.unique(context):
-        ctx = model.contexts.get(np.array([c]))[0]
-        word = model.words.get(vocab)
-        p = (model.pairs.get(ngram.pair_hash(np.full(len(vocab), c), vocab))[:, 0] + ctx[1] * word[:, 1]) / ctx[0]
-        assert p.sum() + ctx[1] * model.unknown / ctx[0] == pytest.approx(1.0)
+def kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney by dictionaries: a function from context and word to the probability."""
+    raw = collections.Counter()
+    for t in texts:
+        w = ["<s>"] * (order - 1) + re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t)) + ["</s>"]
+        raw.update(tuple(w[i - order + 1 : i + 1]) for i in range(order - 1, len(w)))
+    counts = {order: raw}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    vocabulary = {g[-1] for g in raw}
+    cut = {k: ngram._discounts([list(c.values()).count(i) for i in (1, 2, 3, 4)]) for k, c in counts.items()}
+
+    def p(context, word):
+        k = len(context) + 1
+        below = p(context[1:], word) if context else 1 / (len(vocabulary) + 1)
+        of = {g: n for g, n in counts[k].items() if g[:-1] == context}
+        if not of:
+            return below
+        left = sum(cut[k][min(n, 3) - 1] for n in of.values())
+        n = of.get((*context, word), 0)
+        return (n - (cut[k][min(n, 3) - 1] if n else 0) + left * below) / sum(of.values())
+
+    return p, vocabulary, sum(raw.values())
+
+
+@pytest.mark.parametrize(("order", "per_bucket"), [(1, 1 << 21), (2, 40), (3, 40), (3, 1 << 21), (4, 100)])
+def test_ngram_equals_brute_force(spark, order, per_bucket):
+    rng = np.random.default_rng(order)
+    texts = [" ".join(rng.choice(list("aaaabbbccdefghi"), rng.integers(0, 9))) for _ in range(60)] + ["A b", "", "zz a b c"] + ["the end"] * 300
+    model = ngram.train(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), order, per_bucket)
+    p, vocabulary, n = kneser_ney(texts, order)
+    assert (model.n_tokens, model.n_words) == (n, len(vocabulary))
+    queries = [*texts[:25], "unknown word", "a unknown b", "the the end end", "zz A B c d"]
+    data = [q.encode() for q in queries]
+    got = model.score(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    unigrams = collections.Counter(w for t in texts for w in [*t.lower().split(), "</s>"])
+    for i, q in enumerate(queries):
+        w = ["<s>"] * (order - 1) + q.lower().split() + ["</s>"]
+        want = sum(np.log10(p(tuple(w[j - order + 1 : j]), w[j])) for j in range(order - 1, len(w)))
+        assert got["score"][i] == pytest.approx(want, rel=1e-9), q
+        words = w[order - 1 :]
+        assert got["base_score"][i] == pytest.approx(sum(np.log10((unigrams[x] + 1) / (n + len(vocabulary) + 1)) for x in words), rel=1e-9)
+        assert (got["n_tokens"][i], got["n_known"][i]) == (len(words), sum(x in unigrams for x in words))
+    for context in (("a",), ("the",), ("zz", "a"), ("unknown",)):
+        full = ("<s>",) * max(0, order - 1 - len(context)) + context[len(context) - min(order - 1, len(context)) :]
+        assert sum(p(full, x) for x in [*vocabulary, "?"]) == pytest.approx(1.0)
+
+
+def test_ngram_counts_beyond_a_byte():
+    values = np.array([0, 1, 254, 255, 256, 1 << 40])
+    arrays = ngram._narrow("a", values)
+    assert ngram._counts(arrays, "a", np.array([5, 4, 3, 2, 1, 0, -1])).tolist() == [1 << 40, 256, 255, 254, 1, 0, 0]
+    columns = [np.array([0, 0, 7, 1 << 40]), np.array([5, 1 << 33, 0, 2]), np.array([1, 2, 3, 300])]
+    assert all((x == y).all() for x, y in zip(ngram._unpack(ngram._pack(columns)), columns))
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    stored = ngram._hashed(keys, {"a": np.arange(5000)})
+    assert (ngram._counts(stored, "a", ngram._find(stored, keys)) == np.arange(5000)).all() and (ngram._find(stored, keys + np.uint64(1)) < 0).all()
 
 
 def test_toxicity(spark):
@@ -258,6 +304,24 @@ def test_toxicity(spark):
     assert got[1001].n_hits == 1
 
 
+def test_toxicity_folding():
+    assert toxicity.fold("Call 455 now, 3 4 5 $4 1d!0t 1DI0T f00l! @ss wa|t") == ["caii", "455", "now", "3", "4", "5", "4", "idiot", "idiot", "fooi", "ass", "wait"]
+    assert toxicity.fold("") == toxicity.fold(" .,! ") == [] and toxicity.fold("4_5 a_1") == ["4", "5", "a", "1"]
+
+
+def test_toxicity_matcher_equals_naive_search(monkeypatch):
+    stored = {"w": {"bad": 1.0, "fooi": 2.0, "a": 0.5}, "p": {"not bad": 0.0, "bad fooi": 0.0, "a a": 0.0}}
+    monkeypatch.setattr(toxicity, "_stored", stored.__getitem__)
+    toxicity._machine.cache_clear()
+    lexicon, rng = toxicity.Lexicon("w", "p"), np.random.default_rng(2)
+    for _ in range(500):
+        words = rng.choice(["bad", "fooi", "a", "not", "x", "ab"], rng.integers(0, 12)).tolist()
+        covered = {i + j for i in range(len(words) - 1) if f"{words[i]} {words[i + 1]}" in stored["p"] for j in (0, 1)}
+        want = [(sum(len(w) + 1 for w in words[:i]), stored["w"][w]) for i, w in enumerate(words) if w in stored["w"] and i not in covered]
+        assert [(a, v) for a, _, v in lexicon.hits(words)] == want, words
+    toxicity._machine.cache_clear()
+
+
 def test_toxicity_keeps_every_term(spark):
     letters = "bcdfghjkmn"
     terms = ["q" + "".join(letters[int(d)] for d in f"{i:04}") + "w" for i in range(2100)]
