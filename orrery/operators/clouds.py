@@ -1,10 +1,12 @@
-"""Point clouds: rescale colours, centre and scale to unit size, bounds, labels."""
+"""Point clouds: colours, centring and scaling to unit size, bounds, labels; normals of meshes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions import label_colour
+
 _AXES = ("x", "y", "z")
 
 
@@ -31,12 +33,19 @@ def rescale_colours(points: DataFrame, cloud: str = "cloud_id") -> DataFrame:
     return points.join(top, cloud).withColumns({c: F.col(c) / scale for c in ("r", "g", "b")}).drop("top", "any_nan")
 
 
+def colour_labels(points: DataFrame) -> DataFrame:
+    """Points without colours get those of their label; equal labels, and all NaN ones, get equal colours."""
+    given = F.col("r").isNull() & F.col("label").isNotNull()
+    return points.withColumns({c: F.when(given, v).otherwise(F.col(c)) for c, v in zip("rgb", label_colour(F.col("label")))})
+
+
 def labels(points: DataFrame, cloud: str = "cloud_id") -> DataFrame:
+    """The distinct labels of each cloud; ``orderBy`` puts them in order."""
     return points.select(cloud, "label").distinct()
 
 
 def vertex_normals(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
-    """Unit normals per vertex: area-weighted sums over triangles; null where they cancel out."""
+    """Unit normals per vertex: area-weighted sums over triangles; null where they cancel out or a vertex has no triangle."""
     corner = {c: vertices.select("mesh_id", F.col("vid").alias(c), F.struct(*_AXES).alias(f"p{c}")) for c in "abc"}
     t = triangles
     for c in "abc":
@@ -47,4 +56,5 @@ def vertex_normals(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     spread = t.select("mesh_id", *[n.alias(f"n{a}") for n, a in zip(cross, _AXES)], F.explode(F.array("a", "b", "c")).alias("vid"))
     summed = spread.groupBy("mesh_id", "vid").agg(*[F.sum(f"n{a}").alias(f"n{a}") for a in _AXES])
     size = F.sqrt(sum((F.col(f"n{a}") * F.col(f"n{a}") for a in _AXES), F.lit(0.0)))
-    return summed.select("mesh_id", "vid", *[F.try_divide(F.col(f"n{a}"), size).alias(f"n{a}") for a in _AXES])
+    all_ = vertices.select("mesh_id", "vid").join(summed, ["mesh_id", "vid"], "left")
+    return all_.select("mesh_id", "vid", *[F.try_divide(F.col(f"n{a}"), size).alias(f"n{a}") for a in _AXES])
