@@ -37,8 +37,8 @@ HELD_OUT = 2
 ORDER = 3
 #: Tokens for each bucket of n-grams; a task's memory is some 100 bytes a token.
 PER_BUCKET = 1 << 21
-#: Bytes of texts that are scored together; a longer text by itself.
-SCORED = 1 << 23
+#: Bytes of texts that are counted or scored together; a longer text by itself.
+SCORED = 1 << 22
 #: Mark of the end among word hashes.
 END = np.uint64(0x5BE0CD19137E2179)
 
@@ -464,8 +464,9 @@ def train(texts: DataFrame, order: int = ORDER, per_bucket: int = PER_BUCKET) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, token = _batch_tokens(batch.column("t"))
-            if len(row):
+            column = batch.column("t")
+            for i, j in passes(string_buffers(column)[1], 2 * SCORED):
+                row, token = _batch_tokens(column.slice(i, j - i))
                 first = np.flatnonzero(np.diff(row, prepend=-1))
                 place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
                 ids = vocabulary.get(token)[0]

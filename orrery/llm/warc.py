@@ -1,30 +1,32 @@
 """WARC archives written by Spark's text sink and read back through boundary chains.
 
 Writing: a record is its header, an empty line and the payload; the sink's line separator is the two line ends that close a
-record. Equal payloads of at least ``least`` bytes are archived once: the row with the largest page id is the response,
-the others are revisit records without a payload.
+record. Equal payloads of at least ``least`` bytes are archived once: the row with the largest page id (of several, the one with
+the largest url) is the response, the others are revisit records without a payload. Decisions are taken on narrow rows of page id,
+url and digest, so nothing depends on the order in which a scan gives its rows; rows equal in all three are told apart by number alone.
 
 Reading: the files are cut into splits. A task finds every place in its split that looks like a record's start, also inside
 payloads, and its successor by the stated length; it follows successors within the split to where they leave it. Pointer
 jumping over the leaving places, from offset 0 of each file, tells the one true entry of each split, and a second
 pass reads from there. So a record's start inside a payload is never reached, and is not returned.
 
-Defined cases: a null payload is empty; a null page id ranks below all others; of rows with the largest page id and equal
-payloads exactly one is the response; an empty table gives no rows.
+Defined cases: a null payload is empty, a null url too; a null page id ranks below all others; of rows with the largest page id and
+equal payloads exactly one is the response; payloads of any length are read whole; an empty table gives no rows. Other columns, whatever
+their names, don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, keep, scratch
+from .common import body, bounded_batches, forget, keep, scratch
 
 LEAST = 1000
 SPLIT = 8 << 20
@@ -37,10 +39,19 @@ _LENGTH = re.compile(rb"\r\nContent-Length: ([0-9]+)\r\n")
 _HEADER = 1 << 12
 
 
-def _first_of_group(pages: DataFrame, least: int) -> DataFrame:
-    """(sha, winner page, winner rid) of the payloads of at least ``least`` bytes that two or more rows share."""
-    big = pages.filter(F.col("size") >= least)
-    return big.groupBy("sha", "size").agg(F.max(F.struct("page_id", "rid")).alias("top"), F.count("*").alias("n")).filter("n > 1")
+def _decisions(narrow: DataFrame, least: int) -> DataFrame:
+    """(page_id, url, sha, refers_to, again): what is a revisit, and what is a response that ``again`` equal rows more revisit."""
+    big = keep(narrow.filter(F.col("size") >= least).groupBy("page_id", "url", "sha").agg(F.count("*").alias("rows")), "payloads")
+    top = big.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("top"), F.sum("rows").alias("n")).filter("n > 1")
+    # A group of copies is dealt out over salts, for each of which its winner comes once.
+    salted = top.select(F.col("sha").alias("w_sha"), "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    met = big.withColumn("own", own).join(salted, (F.col("sha") == F.col("w_sha")) & (F.col("own") == F.col("salt")))
+    first = F.col("page_id").eqNullSafe(F.col("top.page_id")) & (F.col("url") == F.col("top.url"))
+    out = met.select("page_id", "url", "sha", F.col("top.page_id").alias("refers_to"), F.when(first, F.col("rows") - 1).alias("again")).filter("again IS NULL OR again > 0")
+    out = keep(out, "decisions")
+    forget(big)
+    return out
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST) -> None:
@@ -48,19 +59,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "ur
     rows = pages.select(
         pages[id_col].alias("page_id"), F.regexp_replace(F.coalesce(pages[url].cast("string"), F.lit("")), r"[\x00-\x20\x7f]+", "%20").alias("url"),
         payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).cast("long").alias("size"),
-        F.xxhash64(pages[id_col], pages[url], F.monotonically_increasing_id()).alias("rid"),
     )
-    slim = keep(rows.select("page_id", "sha", "size", "rid"), "payloads")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    winners = _first_of_group(slim, least).select(F.col("sha").alias("w_sha"), F.col("top.page_id").alias("w_id"), F.col("top.rid").alias("w_rid"), salts)
-    # Rows whose payload is archived elsewhere drop it before the shuffle of decisions.
-    decided = (
-        slim.filter(F.col("size") >= least).withColumn("salt0", F.pmod("rid", F.lit(SALTS)).cast("int"))
-        .join(winners, (F.col("sha") == F.col("w_sha")) & (F.col("salt0") == F.col("salt")))
-        .filter("rid <> w_rid").select(F.col("rid").alias("r_rid"), F.col("w_id").alias("refers_to"))
-    )
-    joined = rows.join(keep(decided, "revisits"), F.col("rid") == F.col("r_rid"), "left")
-    revisit = F.col("r_rid").isNotNull()
+    decided = _decisions(rows.select("page_id", "url", "sha", "size"), least)
+    d = decided.select(*[F.col(c).alias(f"d_{c}") for c in ("page_id", "url", "sha")], "refers_to", "again", F.lit(True).alias("met"))
+    same = F.col("page_id").eqNullSafe(F.col("d_page_id")) & (F.col("url") == F.col("d_url")) & (F.col("sha") == F.col("d_sha"))
+    joined = rows.join(d, same, "left").select("page_id", "url", "payload", "sha", "size", "refers_to", "again", (F.col("met").isNotNull() & F.col("again").isNull()).alias("revisit"))
+    out = joined
+    if not decided.filter("again IS NOT NULL").isEmpty():
+        # Responses that equal rows repeat: one of these rows has the payload, the others are revisits.
+        nth = F.explode(F.sequence(F.lit(0).cast("long"), F.col("again")))
+        alike = joined.filter("again IS NOT NULL").groupBy("page_id", "url", "sha", "size", "again").agg(F.first("payload").alias("payload"))
+        alike = alike.withColumn("nth", nth).withColumn("revisit", F.col("nth") > 0).withColumn("refers_to", F.col("page_id"))
+        out = joined.filter("again IS NULL").unionByName(alike.drop("nth"))
+    revisit = F.col("revisit")
     text_id = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     header = F.concat(
@@ -72,61 +83,83 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "ur
         F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("null")), F.lit(">"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
-    joined.select(F.concat(header, block).alias("value")).write.option("lineSep", END).text(folder)
+    with bounded_batches(pages.sparkSession):
+        out.select(F.concat(header, block).alias("value")).write.option("lineSep", END).text(folder)
+    forget(decided)
 
 
 class _Window:
-    """Bytes of a file around the current place, read in large steps."""
+    """Bytes of a file, read forward in steps: those of a stretch, and more where they are asked for."""
 
-    def __init__(self, handle, size: int):
-        self.handle, self.size, self.at, self.data = handle, size, 0, b""
+    def __init__(self, handle, size: int, step: int = 1 << 20):
+        self.handle, self.size, self.step, self.at, self.data = handle, size, step, 0, b""
+        #: Bytes read from the file so far.
+        self.read = 0
 
-    def get(self, start: int, n: int) -> bytes:
+    def get(self, start: int, n: int, step: int | None = None) -> bytes:
+        """Bytes from ``start``, fewer at the end of the file; what isn't held is read, with what follows up to a step."""
         stop = min(start + n, self.size)
-        if start < self.at or stop > self.at + len(self.data):
-            self.handle.seek(start)
-            self.at, self.data = start, self.handle.read(max(stop - start, 1 << 20))
+        held = self.at + len(self.data)
+        if start < self.at or stop > held:
+            more = max(stop - start, self.step if step is None else step)
+            keep_from = start if self.at <= start < held else None
+            tail = self.data[keep_from - self.at :] if keep_from is not None else b""
+            self.handle.seek(start + len(tail))
+            new = self.handle.read(max(0, min(more, self.size - start) - len(tail)))
+            self.read += len(new)
+            self.at, self.data = start, tail + new
         return self.data[start - self.at : stop - self.at]
 
-    def header(self, start: int) -> tuple[bytes, int] | None:
-        """(header, offset of the block), or None if no header starts there."""
-        n = _HEADER
-        while True:
-            data = self.get(start, n)
-            if not data.startswith(_MAGIC):
-                return None
-            end = data.find(b"\r\n\r\n")
-            if end >= 0:
-                return data[: end + 2], start + end + 4
-            if start + n >= self.size or n > SPLIT:
-                return None
-            n *= 4
-
-
-def _successor(view: _Window, start: int) -> int | None:
-    found = view.header(start)
-    length = found and _LENGTH.search(found[0])
-    if not length:
-        return None
-    stop = found[1] + int(length.group(1))
-    return stop + 4 if view.get(stop, 4) == b"\r\n\r\n" else None
-
-
-def _open(path: str, size: int) -> _Window:
+
+def _header(get: Callable[[int, int], bytes], start: int, size: int) -> tuple[bytes, int] | None:
+    """(header, offset of the block), or None if no header starts there."""
+    n = _HEADER
+    while True:
+        data = get(start, n)
+        if not data.startswith(_MAGIC):
+            return None
+        end = data.find(b"\r\n\r\n")
+        if end >= 0:
+            return data[: end + 2], start + end + 4
+        if start + n >= size or n > SPLIT:
+            return None
+        n *= 4
+
+
+def _open(path: str, size: int, step: int = 1 << 20) -> _Window:
     fs, at = pafs.FileSystem.from_uri(path)
-    return _Window(fs.open_input_file(at), size)
+    return _Window(fs.open_input_file(at), size, step)
 
 
-def _exits(path: str, size: int, low: int, high: int) -> tuple[list[int], list[int]]:
-    """Candidates of a split and where their chains leave it (-1: the chain breaks)."""
-    view = _open(path, size)
-    data = view.get(low, high - low + len(_MAGIC) - 1)
-    starts = [low + m.start() for m in _START.finditer(data)]
-    follow = _open(path, size)
+def _exits(view: _Window, low: int, high: int) -> tuple[list[int], list[int]]:
+    """Candidates of a split and where their chains leave it (-1: the chain breaks).
+
+    The split is read once; beyond it only headers that cross its end, and the line ends after records that do, are read.
+    """
+    data = view.get(low, high - low + len(_MAGIC) - 1, 0)
+    far = _Window(view.handle, view.size, 0)
+
+    def get(start: int, n: int) -> bytes:
+        stop = min(start + n, view.size)
+        return data[start - low : stop - low] if stop <= low + len(data) else far.get(start, n)
+
+    def successor(start: int) -> int | None:
+        # Most headers end within the split's bytes, even if the bytes asked for don't.
+        near = data[start - low : start - low + _HEADER]
+        end = near.find(b"\r\n\r\n")
+        found = (near[: end + 2], start + end + 4) if end >= 0 else _header(get, start, view.size)
+        length = found and _LENGTH.search(found[0])
+        if not length:
+            return None
+        stop = found[1] + int(length.group(1))
+        return stop + 4 if stop + 4 <= view.size and get(stop, 4) == b"\r\n\r\n" else None
+
+    starts = [low + m.start() for m in _START.finditer(data) if low + m.start() < high]
+    after = [successor(s) for s in starts]
     exits: dict[int, int] = {}
-    for s in reversed(starts):
-        nxt = _successor(follow, s)
+    for s, nxt in zip(reversed(starts), reversed(after)):
         exits[s] = -1 if nxt is None else nxt if nxt >= high else exits.get(nxt, -1)
+    view.read += far.read
     return starts, [exits[s] for s in starts]
 
 
@@ -143,29 +176,32 @@ def entries(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                starts, exits = _exits(row["path"], row["size"], row["low"], row["high"])
+                starts, exits = _exits(_open(row["path"], row["size"]), row["low"], row["high"])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["path"]] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(exits, pa.int64())], names=["path", "node", "exit"]
                 )
 
-    spread = splits.repartition("path", "low")
-    nodes = keep(spread.mapInArrow(scan, "path string, node bigint, exit bigint"), "candidates")
+    # Rows are few and each stands for many bytes, so they are dealt out by number, not by size.
+    n_splits = splits.count()
+    nodes = keep(splits.repartition(max(1, n_splits)).mapInArrow(scan, "path string, node bigint, exit bigint"), "candidates")
     # Only places that a chain leaves to, and file starts, can be entries.
     known = nodes.filter("exit >= 0").select("path", F.col("exit").alias("node")).distinct()
     jump = keep(nodes.join(known, ["path", "node"], "left_semi").unionByName(nodes.filter("node = 0")).distinct(), "jumps")
     reached = splits.select("path").distinct().withColumn("node", F.lit(0).cast("long"))
     most = splits.groupBy("path").count().agg(F.max("count")).first()[0] or 0  # one number
+    done = [nodes, jump]
     for _ in range(int(most - 1).bit_length() if most else 0):
         step = reached.join(jump, ["path", "node"]).filter("exit >= 0").select("path", F.col("exit").alias("node"))
         reached = keep(reached.unionByName(step).distinct(), "reached")
         onward = jump.select("path", F.col("node").alias("exit"), F.col("exit").alias("far"))
         jump = keep(jump.join(onward, ["path", "exit"]).select("path", "node", F.col("far").alias("exit")), "jumps")
+        done += [jump, reached]
     inside = splits.select(F.col("path").alias("p"), "size", "low", "high")
     slot = (F.floor(F.col("node") / split) * split).alias("low0")
-    return (
-        reached.select("path", F.col("node").alias("entry"), slot)
-        .join(inside, (F.col("path") == F.col("p")) & (F.col("low0") == F.col("low"))).select("path", "size", "entry", "high")
-    )
+    at = F.col("path") == F.col("p")
+    out = keep(reached.select("path", F.col("node").alias("entry"), slot).join(inside, at & (F.col("low0") == F.col("low"))).select("path", "size", "entry", "high"), "entries")
+    forget(splits, *done)
+    return out
 
 
 _FIELD = {k: re.compile(rb"\r\n" + v + rb"\r\n") for k, v in {
@@ -187,7 +223,7 @@ def read(spark: SparkSession, folder: str, split: int = SPLIT, payloads: bool =
             for row in batch.to_pylist():
                 view, at, out, held = _open(row["path"], row["size"]), row["entry"], [], 0
                 while at < row["high"]:
-                    head, start = view.header(at)
+                    head, start = _header(view.get, at, row["size"])
                     head = b"\r\n" + head
                     stop = start + int(_LENGTH.search(head).group(1))
                     data = view.get(start, stop - start)
@@ -205,7 +241,8 @@ def read(spark: SparkSession, folder: str, split: int = SPLIT, payloads: bool =
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     fields = "page_id string, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to string" + (", payload binary" if payloads else "")
-    return entries(spark, folder, split).repartition("path", "entry").mapInArrow(records, fields)
+    found = entries(spark, folder, split)
+    return found.repartition(max(1, found.count())).mapInArrow(records, fields)
 
 
 def archive(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
