@@ -2,10 +2,13 @@
 
 A pre-token that is a vocabulary entry is found by a minimal perfect hash; any other is merged pair by pair with a heap over
 linked bytes. The hash is built in levels: keys that share no slot of a level settle there, the rest go on to the next one;
-the rank of a settled slot's bit is its place, and the entry stored there is compared with the key.
+the rank of a settled slot's bit is its place, where the entry and its id are stored; the entry is compared with the key.
+
+By the usual pattern a space between characters that aren't white space begins a new pre-token, so texts are encoded word by
+word, and a worker remembers the ids of the words it has met; texts with other white space are cut by the pattern as a whole.
 
 Defined cases: a null text is empty and has no ids. Texts of any length are encoded whole. Every byte sequence can be
-encoded, since every single byte is an entry.
+encoded, since every single byte is an entry. An empty table gives no rows; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, pairwise
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, mix
+from .common import BYTE_LEVEL_PATTERN, body, cut_alone, mix, spaced
 
-#: Distinct pre-tokens after which a worker's memo of ids is set aside; the one set aside before is forgotten then.
-REMEMBERED = 1 << 18
+#: Distinct words after which a worker's memo of ids is set aside; the one set aside before is forgotten then.
+REMEMBERED = 1 << 19
 #: Characters of texts that are split and looked up together; a longer text is a group of its own.
 GROUP_CHARS = 1 << 20
 
@@ -36,13 +40,26 @@ class PerfectHash:
     """Minimal perfect hash from byte strings to 0 .. n-1, by levels of bits."""
 
     LOAD = 2.0
+    #: Levels after which the hashes must be equal; then all begins anew with another seed.
+    MOST = 64
 
     def __init__(self, keys: list[bytes]):
-        left = np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64)
+        if len(set(keys)) < len(keys):
+            raise ValueError("keys repeat")
+        for seed in range(8):
+            if self._build(keys, seed):
+                return
+        raise ValueError("no perfect hash found")
+
+    def _build(self, keys: list[bytes], seed: int) -> bool:
+        self.seed = seed
+        left = self._hashes(keys)
         self.levels: list[np.ndarray] = []
         self.ranks: list[np.ndarray] = []
         base = 0
         while len(left):
+            if len(self.levels) == self.MOST:
+                return False
             slots = max(2, int(self.LOAD * len(left)))
             at = self._slot(left, len(self.levels), slots)
             alone = np.bincount(at, minlength=slots) == 1
@@ -51,6 +68,10 @@ class PerfectHash:
             base += int(alone.sum())
             left = left[~alone[at]]
         self.size = base
+        return True
+
+    def _hashes(self, keys: list[bytes]) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(k, self.seed) for k in keys], dtype=np.uint64)
 
     @staticmethod
     def _slot(hashes: np.ndarray, level: int, slots: int) -> np.ndarray:
@@ -58,7 +79,7 @@ class PerfectHash:
 
     def places(self, keys: list[bytes]) -> np.ndarray:
         """A place for each key; a key that isn't in the set gets any place, or -1."""
-        hashes = np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64)
+        hashes = self._hashes(keys)
         out = np.full(len(keys), -1, np.int64)
         todo = np.arange(len(keys))
         for level, (bits, ranks) in enumerate(zip(self.levels, self.ranks)):
@@ -79,14 +100,18 @@ class Encoder:
         entries = list(ranks)
         self.two = [ranks.get(bytes(divmod(p, 256))) for p in range(1 << 16)]
         self.hash = PerfectHash(entries)
+        #: By place: the entry, and its id as bytes.
         self.entry: list[bytes] = [b""] * len(entries)
+        self.found: list[bytes] = [b""] * len(entries)
         for place, token in zip(self.hash.places(entries).tolist(), entries):
-            self.entry[place] = token
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of a piece: the pair of lowest rank merges first, the leftmost of equal ones."""
+            self.entry[place], self.found[place] = token, pack("<I", ranks[token])
+        self.by_word = pattern == BYTE_LEVEL_PATTERN
+        #: Ids, as bytes, of words and pre-tokens met before; None for words that can't be cut alone.
+        self.memo: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+
+    def merge(self, piece: bytes) -> bytes:
+        """Ids of a piece, four bytes each: the pair of lowest rank merges first, the leftmost of equal ones."""
         n = len(piece)
         bits = n.bit_length()
         mask = (1 << bits) - 1
@@ -115,17 +140,35 @@ class Encoder:
         while i < n:
             out.append(self.ranks[piece[i : after[i]]])
             i = after[i]
-        return tuple(out)
+        return pack(f"<{len(out)}I", *out)
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Put the ids of ``pieces`` into the memo: whole entries by the perfect hash, the rest by merging."""
+    def lookup(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of distinct pre-tokens: whole entries by the perfect hash, the rest by merging."""
         texts = list(pieces)
         keys = [p.encode() for p in texts]
-        for text, key, place in zip(texts, keys, self.hash.places(keys).tolist()):
-            whole = place >= 0 and self.entry[place] == key
-            self.memo[text] = (self.ranks[key],) if whole else self.merge(key)
+        return {t: self.found[p] if p >= 0 and self.entry[p] == k else self.merge(k) for t, k, p in zip(texts, keys, self.hash.places(keys).tolist())}
 
-    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+    def _know(self, some: set[str]) -> set[str]:
+        """What of ``some`` isn't in the memo, once what was set aside is taken back."""
+        new = some.difference(self.memo)
+        if new and self.older:
+            known = new.intersection(self.older)
+            self.memo.update((w, self.older[w]) for w in known)
+            new -= known
+        return new
+
+    def _learn(self, words: set[str]) -> None:
+        cut = {w: self.split.findall(w) for w in words if cut_alone(w)}
+        self.memo.update((w, None) for w in words - cut.keys())
+        pieces = set(chain.from_iterable(cut.values()))
+        get = {p: i for p in pieces if (i := self.memo.get(p) or self.older.get(p)) is not None}
+        new = self.lookup(pieces.difference(get))
+        # White space within a word is a pre-token, but no word that can be cut alone.
+        self.memo.update((p, i) for p, i in new.items() if cut_alone(p))
+        get |= new
+        self.memo.update((w, b"".join(map(get.__getitem__, found))) for w, found in cut.items())
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of each text; texts of together up to ``GROUP_CHARS`` characters are looked up at a time."""
         group, size = [], 0
         for text in texts:
@@ -137,23 +180,22 @@ class Encoder:
         if group:
             yield from self._encode_group(group)
 
-    def _encode_group(self, texts: list[str]) -> list[list[int]]:
-        split = [self.split.findall(t) for t in texts]
-        distinct = set().union(*split)
+    def _encode_group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        split = [spaced(t) if self.by_word and t and "\0" not in t else None for t in texts]
         if len(self.memo) > REMEMBERED:
             self.older, self.memo = self.memo, {}
-        new = distinct.difference(self.memo)
-        if new and self.older:
-            known = new.intersection(self.older)
-            self.memo.update((p, self.older[p]) for p in known)
-            new -= known
-        if new:
-            self.learn(new)
-        ids = self.memo.__getitem__
-        return [list(chain.from_iterable(map(ids, pieces))) for pieces in split]
+        if new := self._know(set().union(*filter(None, split))):
+            self._learn(new)
+        get = self.memo.__getitem__
+        for text, words in zip(texts, split):
+            parts = list(map(get, words)) if words else [None]
+            if None in parts:
+                pieces = self.split.findall(text)
+                parts = list(map(self.lookup(set(pieces)).__getitem__, pieces))
+            yield np.frombuffer(b"".join(parts), "<u4")
 
     def encode(self, text: str) -> list[int]:
-        return self._encode_group([text])[0]
+        return next(self.encode_all([text])).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -174,7 +216,7 @@ def tokenise(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            ids = list(enc.encode_all(batch.column("t").to_pylist()))
+            ids = list(enc.encode_all(x.as_py() for x in batch.column("t")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>")
@@ -189,7 +231,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         sha, decimal = hashlib.sha256, {i: str(i) for i in enc.bytes_of}.__getitem__
         for batch in batches:
             n, coded, decoded = [], [], []
-            for ids in enc.encode_all(batch.column("t").to_pylist()):
+            for found in enc.encode_all(x.as_py() for x in batch.column("t")):
+                ids = found.tolist()
                 n.append(len(ids))
                 coded.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
                 decoded.append(sha(enc.decode(ids)).hexdigest())

@@ -199,6 +199,20 @@ class Words:
         self.hash = mix(value + self.length.astype(np.uint64) * np.uint64(_GOLDEN))
 
 
+# Fixed value: the pattern by which byte-level vocabularies of this kind cut texts; by it, words can be cut one by one.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def spaced(text: str) -> list[str]:
+    """Words with the space before them, and line ends, in turn; together they are the text, unless it has a null character."""
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
+def cut_alone(word: str) -> bool:
+    """Whether a word from :func:`spaced` is cut by itself as it is within its text; not if white space may go on beside it."""
+    return word == "\n" or bool(word) and not word[-1].isspace() and (word[0] == " " or not word[0].isspace())
+
+
 def crc_remainder(doc_id: F.Column, modulus: int) -> F.Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import body, bounded_batches
+from .common import BYTE_LEVEL_PATTERN, body, bounded_batches, cut_alone, spaced
 
 END = 0
 #: Words after which a worker's memo of ids is set aside; the one set aside before is forgotten then.
@@ -44,8 +44,7 @@ REMEMBERED = 1 << 19
 #: Words of these characters, whose kinds no version of Unicode changes, are cut by the pattern below; others by the library.
 _SETTLED = regex.compile("[\x20-\x7e\xa1-\u024f]+").fullmatch
 
-# Pieces into which byte-level pre-tokenizers cut a word.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+").findall
+_PIECES = regex.compile(BYTE_LEVEL_PATTERN).findall
 
 
 def masked(data: bytes) -> int:
@@ -104,7 +103,7 @@ class Encoder:
 
     def _word(self, word: str) -> bytes | None:
         """Ids of a word with the space before it, or of a line end; None if a piece of white space may be cut in two here."""
-        if word != "\n" and (not word or word[-1].isspace() or word[0] != " " and word[0].isspace()):
+        if not cut_alone(word):
             return None
         if not _SETTLED(word) or any(t in word for t in self.added):
             return self.whole(word)
@@ -114,7 +113,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.by_word or "\0" in text or not text:
             return self.whole(text)
-        words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        words = spaced(text)
         get = self.memo.__getitem__
         try:
             return b"".join(map(get, words))

@@ -39,6 +39,8 @@ SAMPLE = 20000
 MIN_TEXTS, MIN_WEIGHT, MIN_CHI = 3, 1.5, 15.0
 #: Clean texts that an exception phrase comes in at least, and how likely they may be by chance.
 MIN_CLEAN, CHANCE = 3, 0.01
+#: Labelled ids that are broadcast, some 20 bytes each.
+BROADCAST_LABELS = 1 << 20
 #: Files that a worker reads to build its automaton.
 LEXICON_FILES = 4
 THRESHOLD = 0.7
@@ -70,9 +72,13 @@ def fold(text: str) -> list[str]:
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame, held: F.Column, id_col: str, text: str, label: str) -> DataFrame:
-    marks = labels.filter(labels[label].isNotNull()).groupBy(labels[id_col].alias("lid")).agg(F.max(labels[label]).cast("int").alias("y"))
+    marks = keep(labels.filter(labels[label].isNotNull()).groupBy(labels[id_col].alias("lid")).agg(F.max(labels[label]).cast("int").alias("y")), "marks")
+    # Labels are narrow: as long as they are few enough they go to the texts, else texts and labels are dealt out by id.
+    side = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks.hint("merge")
     source = docs.filter(~held).select(docs[id_col].alias("id"), body(docs, text).alias("t"))
-    return keep(source.join(marks, source.id == marks.lid).select("id", "t", "y"), "labelled")
+    rows = keep(source.join(side, source.id == marks.lid).select("id", "t", "y"), "labelled")
+    forget(marks)
+    return rows
 
 
 def _count(rows: DataFrame, units: str, lexicon: Lexicon | None = None) -> DataFrame:
