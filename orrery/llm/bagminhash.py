@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, body, keep, mix, passes, string_buffers
+from .common import Words, body, forget, keep, mix, passes, string_buffers
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,6 +37,8 @@ SALTS = 8
 ORDERS = 2
 #: Members of a bucket that one task orders.
 RUN = 4096
+#: Rows to drop that are broadcast, some 16 bytes each.
+BROADCAST_COPIES = 1 << 20
 #: Counters of shingles by hash, for the ranks of the exact pass; any counts give the same links, good ones give fewer pairs.
 COUNTERS = 1 << 18
 
@@ -136,8 +138,8 @@ def _signed(docs: DataFrame, id_col: str, text: str, bands: int, rows: int, whol
 
 
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowd). pairs: distinct (a, b), a < b, of representatives that share a bucket as pivot or predecessor and member. crowd:
-    (rid, bucket) of the buckets with more than two members, of which pairs needn't have all pairs."""
+    """(pairs, inside). pairs, stored: distinct (a, b), a < b, of representatives that share a bucket as pivot or predecessor and member. inside,
+    stored: (rid, bucket, n) of the members of buckets of n; pairs have all pairs of those of two alone."""
     banded = keep(reps.select("rid", F.posexplode("bands").alias("band", "bucket")).withColumn("turn", F.xxhash64("rid", F.pmod("band", F.lit(ORDERS)))), "banded")
     full = banded.groupBy("bucket").agg(F.min_by("rid", "turn").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     full = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("bucket", "bk")
@@ -146,12 +148,15 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = inside.withColumn("run", F.pmod(F.xxhash64("turn"), F.ceil(F.col("n") / RUN)))
     runs = runs.withColumn("before", F.lag("rid").over(W.partitionBy("bucket", "run").orderBy("turn")))
     pairs = runs.select("rid", F.explode(F.array("pivot", "before")).alias("other")).filter("other IS NOT NULL AND other <> rid")
-    return pairs.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct(), inside.filter("n > 2").select("rid", "bucket")
+    out = keep(pairs.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct(), "pairs")
+    forget(banded)
+    return out, inside
 
 
 def unsettled(crowd: DataFrame, labels: DataFrame) -> DataFrame:
     """(rid, label) of the members of buckets with more than one label; a text without a label is its own."""
-    named = keep(crowd.join(labels, crowd.rid == labels.node, "left").select("rid", "bucket", F.coalesce("label", "rid").alias("label")), "named")
+    crowd = crowd.withColumnRenamed("rid", "own")
+    named = keep(crowd.join(labels, crowd.own == labels.node, "left").select(F.col("own").alias("rid"), "bucket", F.coalesce("label", "own").alias("label")), "named")
     mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
     return named.join(mixed, "bucket", "left_semi").select("rid", "label").distinct()
 
@@ -166,7 +171,7 @@ def _elements(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
 
 
 def crowded(texts: DataFrame, least: float) -> DataFrame:
-    """Distinct (a, b), a < b, with all pairs of similarity ``least`` or more and different labels. ``texts``: rid, label, t.
+    """Distinct (a, b), a < b, stored, with all pairs of similarity ``least`` or more and different labels. ``texts``: rid, label, t.
 
     With sizes x <= y, similar sets share at least 2 * least / (1 + least) * x and least * y elements. So by any order of
     elements, the least one they share is within the first x - that + 1 of the smaller and y - that + 1 of the larger.
@@ -202,14 +207,16 @@ def crowded(texts: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(size[probe]), pa.array(token[probe].view(np.int64)), pa.array(index[probe])], names=["rid", "label", "size", "token", "index"])
 
     tokens = keep(texts.select("rid", "label", "t").mapInArrow(prefix, "rid bigint, label bigint, size bigint, token bigint, index boolean"), "tokens")
-    shared = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main")).filter("low <> high")
-    shared = keep(tokens.join(shared.select("token", "main"), "token").withColumn("is_main", F.col("label") == F.col("main")).drop("main"), "shared")
+    common = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main")).filter("low <> high")
+    shared = keep(tokens.join(common.select("token", "main"), "token").withColumn("is_main", F.col("label") == F.col("main")).drop("main"), "shared")
     # Members of a token's commonest class meet only those of other classes: main ones are sought in part 0, and found in part 1.
     seek = shared.filter("index").withColumn("part", F.explode(F.when(F.col("is_main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     offer = shared.select(F.col("rid").alias("r"), F.col("label").alias("l"), F.col("size").alias("z"), "token", F.col("is_main").cast("int").alias("part"))
     near = (F.col("label") != F.col("l")) & (F.struct("size", "rid") < F.struct(F.col("z").alias("size"), F.col("r").alias("rid"))) & (F.col("z") * least <= F.col("size") + 1e-6)
     both = seek.hint("merge").join(offer.hint("merge"), ["token", "part"]).filter(near)
-    return both.select(F.least("rid", "r").alias("a"), F.greatest("rid", "r").alias("b")).distinct()
+    out = keep(both.select(F.least("rid", "r").alias("a"), F.greatest("rid", "r").alias("b")).distinct(), "late")
+    forget(tokens, shared)
+    return out
 
 
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +234,7 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 
 
 def links(signed: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least ``least``."""
+    """The pairs (a, b) whose similarity is at least ``least``, stored."""
     # The file size of copies tells little about their size in memory, so texts are never broadcast: all these joins sort and merge.
     need = keep(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "need")
     texts = keep(signed.select("rid", "t").hint("merge").join(need, F.col("rid") == F.col("r"), "left_semi").withColumnRenamed("rid", "r"), "texts")
@@ -252,20 +259,25 @@ def links(signed: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
                 ok.append(similarity(bag, _bag(batch.column("tb")[i].as_py())) >= least)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(c, ok) if y], pa.int64()) for c in (a, b)], names=["a", "b"])
 
-    return both.mapInArrow(verify, "a bigint, b bigint")
+    out = keep(both.mapInArrow(verify, "a bigint, b bigint"), "links")
+    forget(need, texts, busy)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each node's component, for nodes with edges."""
+    """(node, label), stored: the least node of each node's component, for nodes with edges."""
     both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("j"), F.col("label").alias("far"))
+        now = labels.select("node", "label")
+        near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("label").alias("near"))
+        lower = now.join(near, now.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        jump = now.select(F.col("node").alias("j"), F.col("label").alias("far"))
         new = keep(lower.join(jump, lower.mid == jump.j).select("node", "old", F.least("mid", "far").alias("label")), "labels")
-        labels = new.select("node", "label")
+        forget(labels)
+        labels = new
         if new.filter("label <> old").isEmpty():
+            forget(both)
             return labels
 
 
@@ -276,26 +288,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     some = signed.filter("n_words > 0")
     copies = keep(some.groupBy("h1", "h2").agg(F.min("rid").alias("rep")), "copies")
     reps = some.select("rid", "bands").join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    offered, crowd = candidates(reps)
-    found = keep(components(links(signed, keep(offered, "pairs"), least)), "found")
-    open_texts = keep(unsettled(crowd, found), "unsettled")
+    pairs, inside = candidates(reps)
+    linked = links(signed, pairs, least)
+    first = components(linked)
+    found = first.select("node", "label")
+    open_texts = keep(unsettled(inside.filter("n > 2").select("rid", "bucket"), found), "unsettled")
+    done = [copies, pairs, inside, linked, first, open_texts]
     if not open_texts.isEmpty():
         texts = keep(signed.select("rid", "t").hint("merge").join(open_texts.hint("merge"), "rid"), "open")
         own = open_texts.select(F.col("rid").alias("r"), "label")
-        late = links(signed, keep(crowded(texts, least), "late"), least)
-        late = late.join(own, late.a == own.r).select(F.col("label").alias("a"), "b").join(own, F.col("b") == own.r).select("a", F.col("label").alias("b")).distinct()
-        merged = keep(components(late).select(F.col("node").alias("from"), F.col("label").alias("to")), "merged")
+        met = crowded(texts, least)
+        late = links(signed, met, least)
+        ends = late.join(own, late.a == own.r).select(F.col("label").alias("a"), "b").join(own, F.col("b") == own.r).select("a", F.col("label").alias("b")).distinct()
+        second = components(ends)
+        merged = second.select(F.col("node").alias("from"), F.col("label").alias("to"))
         # A label without links is that of a text of its own, which late links may give one.
         nodes = found.unionByName(open_texts.filter("rid = label").select(F.col("rid").alias("node"), "label")).distinct()
         found = nodes.join(merged, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
+        done += [texts, met, late, second]
     labelled = copies.join(found, copies.rep == found.node, "left").select("h1", "h2", F.coalesce("label", "rep").alias("label"))
     words = F.col("n_words") > 0
     # Texts without words have keys of their own, so that they meet no label and don't gather in one task.
     slim = signed.select("rid", "id", F.when(words, F.col("h1")).otherwise(F.col("rid")).alias("k1"), F.when(words, F.col("h2")).alias("k2"))
     joined = keep(slim.join(labelled, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
                   .select("rid", "id", F.coalesce("label", "rid").alias("label")), "members")
+    forget(*done)
     heads = joined.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("top"), F.count("*").alias("class_size"))
-    heads = heads.select("label", F.col("top.id").alias("class_id"), F.col("top.rid").alias("top_rid"), "class_size")
+    # Stored, so that a large class can be split in the join.
+    heads = keep(heads.select("label", F.col("top.id").alias("class_id"), F.col("top.rid").alias("top_rid"), "class_size"), "heads")
     return joined.join(heads, "label").withColumn("kept", F.col("rid") == F.col("top_rid")).drop("top_rid", "label"), signed
 
 
@@ -307,4 +327,8 @@ def near_classes(docs: DataFrame, **options) -> DataFrame:
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, with all its columns: the one with the least id."""
     found, signed = classes(docs, whole=True, **options)
+    found = keep(found.select("rid", "kept"), "kept")
+    gone = found.filter("NOT kept").select("rid")
+    if gone.count() <= BROADCAST_COPIES:
+        return signed.join(F.broadcast(gone), "rid", "left_anti").select("row.*")
     return signed.join(found.filter("kept").select("rid"), "rid", "left_semi").select("row.*")

@@ -2,7 +2,8 @@
 
 The suffixes of the words of a batch of texts are sorted by prefix doubling; a symbol is a word of one text, so suffixes of
 different texts share no prefix. The common prefix of neighbours bounds each longest-common-prefix interval, whose prefix is
-a maximal repeated substring; the union of the repeats of at least ``window`` words is what counts as repeated.
+a maximal repeated substring. The base measure is the union of the repeats of at least ``window`` words. The verdict is stricter: it
+limits the union of shorter repeats too, and the longest repeat, both by their share of the text's words.
 
 Defined cases: a null text has no words; texts with fewer than ``min_words`` words fail; an empty table gives no rows; other
 columns, whatever their names, don't matter. Texts of any length are read whole.
@@ -22,8 +23,10 @@ from .common import Words, body, fresh, passes, string_buffers
 WINDOW = 8
 MIN_WORDS = 20
 MAX_PERCENT = 30
-#: Words that one repeated passage may have.
-MAX_LONGEST = 200
+#: Words of the shortest repeat that counts for the verdict.
+PASSAGE = 5
+#: Percent of a text's words that repeats may cover, and that the longest one may have.
+MAX_COVERED, MAX_LONGEST = 40, 20
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -66,16 +69,19 @@ def longest_repeats(row: np.ndarray, word: np.ndarray) -> np.ndarray:
     return best
 
 
+def covered(best: np.ndarray, least: int) -> np.ndarray:
+    """Whether each word lies in a repeat of at least ``least`` words; ``best`` is from :func:`longest_repeats`."""
+    edge = np.zeros(len(best) + 1, np.int64)
+    hit = np.flatnonzero(best >= least)
+    edge[hit] += 1
+    np.add.at(edge, hit + best[hit], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _measure(raw: np.ndarray, offsets: np.ndarray, window: int) -> dict[str, np.ndarray]:
     rows = len(offsets) - 1
     words = Words(raw, offsets)
     best = longest_repeats(words.row, words.hash)
-    n = len(best)
-    edge = np.zeros(n + 1, np.int64)
-    hit = np.flatnonzero(best >= window)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + best[hit], -1)
-    covered = np.cumsum(edge[:-1]) > 0
     longest = np.zeros(rows, np.int64)
     np.maximum.at(longest, words.row, best)
     owner = np.repeat(np.arange(rows), np.diff(offsets))
@@ -85,7 +91,8 @@ def _measure(raw: np.ndarray, offsets: np.ndarray, window: int) -> dict[str, np.
         "n_words": words.count,
         "word_chars": np.bincount(words.row, weights=points[words.start + words.length] - points[words.start], minlength=rows).astype(np.int64),
         "n_symbols": np.bincount(owner, weights=_SYMBOL[raw], minlength=rows).astype(np.int64),
-        "n_repeat_words": np.bincount(words.row, weights=covered, minlength=rows).astype(np.int64),
+        "n_repeat_words": np.bincount(words.row, weights=covered(best, window), minlength=rows).astype(np.int64),
+        "n_passage_words": np.bincount(words.row, weights=covered(best, PASSAGE), minlength=rows).astype(np.int64),
         "longest_repeat": longest,
     }
 
@@ -96,12 +103,12 @@ def _dup_lines(text: str) -> int:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, keep_columns: bool = False) -> DataFrame:
-    """One row per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, longest_repeat.
+    """One row per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_passage_words, longest_repeat.
 
     With ``keep_columns`` all columns of ``docs`` stay, in the struct ``row``.
     """
     source = docs.select(docs[id_col].alias("id"), body(docs, text).alias("t"), *([F.struct(*docs.columns).alias("row")] if keep_columns else []))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_passage_words", "longest_repeat"]
     kept = ["id"] + (["row"] if keep_columns else [])
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
 
@@ -125,9 +132,10 @@ def base_failed(min_words: int = MIN_WORDS, max_percent: int = MAX_PERCENT) -> F
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_percent * F.col("n_words"))
 
 
-def verdict(max_longest: int = MAX_LONGEST, min_words: int = MIN_WORDS, max_percent: int = MAX_PERCENT) -> F.Column:
-    """Whether a text stays: enough words, repeats cover at most ``max_percent``, none longer than ``max_longest`` words."""
-    return ~base_failed(min_words, max_percent) & (F.col("longest_repeat") <= max_longest)
+def verdict(max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST, min_words: int = MIN_WORDS, max_percent: int = MAX_PERCENT) -> F.Column:
+    """Whether a text stays: the base rules, repeats cover at most ``max_covered`` percent, and the longest has at most ``max_longest`` percent."""
+    within = (100 * F.col("n_passage_words") <= max_covered * F.col("n_words")) & (100 * F.col("longest_repeat") <= max_longest * F.col("n_words"))
+    return ~base_failed(min_words, max_percent) & within
 
 
 def good(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

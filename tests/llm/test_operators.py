@@ -62,6 +62,17 @@ def test_exact_dedup(docs):
     assert kept.columns == docs.columns and kept.count() == len(set(norm))
 
 
+def test_dedup_of_equal_rows_and_many_groups(spark, monkeypatch):
+    rows = [(i // 2, f"text {i % 40}", i) for i in range(400)] + [(None, "text 1", 9), (900, None, 1), (901, "", 2), (0, "text 0", 7), (0, "text 0", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest__ int").withColumn("m", F.create_map(F.lit("a"), F.col("digest__")))
+    for few in (1 << 19, 0):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", few)
+        a, b = (exact_dedup.dedup(df.repartition(n)) for n in (2, 5))
+        assert a.columns == df.columns
+        a, b = (sorted((r.text or "", r.doc_id, r.digest__) for r in x.collect()) for x in (a, b))
+        assert a == b and [(t, i) for t, i, _ in a] == sorted([("", 900)] + [(f"text {k}", k // 2) for k in range(40)])
+
+
 def test_heavy_group(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id)) as text")
     out = exact_dedup.dedup_groups(df).filter("group_size = 1000").collect()
@@ -89,10 +100,55 @@ def test_mixing(docs):
     assert len(a) == len(TEXTS) + 2 and (a.taken <= 2 * a["size"]).all()
     assert sorted(zip(a.id.fillna(-1), a["size"], a.taken)) == sorted(zip(b.id.fillna(-1), b["size"], b.taken))
     for _, g in a.groupby("source", dropna=False):
-        assert abs(g.taken.sum() - g.target.iloc[0]) <= 6 * mixing.BLOCK
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 4 * g.block.iloc[0]
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def mix_by_hand(rows, block=mixing.BLOCK, repeat=mixing.REPEAT):
+    """Words taken of each row from (rid, source, size, h, id, target, block) by a plain loop over slots and streams."""
+    taken, sources = collections.Counter(), {}
+    for r in rows:
+        sources.setdefault(r.source, []).append(r)
+    for size in {r.block for r in rows}:
+        group = sorted((s for s in sources if sources[s][0].block == size), key=lambda s: (s is None, s))
+        edges, total = [], 0.0
+        for s in group:
+            edges.append((total, total := total + sources[s][0].target))
+        hits = collections.Counter()
+        for i in range(int(-(-total // size))):
+            u = (i * mixing.GOLDEN % (1 << 45)) / (1 << 45)
+            for s, (low, high) in zip(group, edges):
+                if low / total <= u < high / total:
+                    hits[s] += 1
+        for s in group:
+            stream = [r.rid for r in sorted(sources[s], key=lambda r: (r.bucket, r.h, -1 if r.id is None else r.id, r.rid)) for _ in range(r.size)]
+            blocks = [stream[i : i + size] for i in range(0, len(stream), size)]
+            for k in range(min(hits[s], repeat * len(blocks))):
+                taken.update(blocks[k % len(blocks)])
+    return taken
+
+
+def test_mixing_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, words(int(rng.integers(0, 400)), i), ["big", "b2", "b3", None][int(rng.integers(0, 4))] if i % 9 else f"tiny{i % 27}") for i in range(220)]
+    rows += [(500, "one", "a word"), (501, "three more words", "b words"), (502, None, "none"), (None, "no id", "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = mixing.taken(df).withColumn("bucket", F.shiftrightunsigned("h", 48)).collect()
+    want = mix_by_hand(out)
+    assert {r.rid: r.taken for r in out} == {r.rid: want[r.rid] for r in out} and len(out) == len(rows)
+    by = {}
+    for r in out:
+        by.setdefault(r.source, [0, r.target, r.block])[0] += r.taken
+    assert all(abs(t - target) <= 4 * b for t, target, b in by.values()) and by["a word"][0] >= 1 and by["b words"][0] >= 2
+    assert {b for _, _, b in by.values()} >= {1, 16, 128} or len({b for _, _, b in by.values()}) > 2
+
+
+def test_golden_points_are_exact(spark):
+    some = [0, 1, 2, 12345, (1 << 40) + 7, (1 << 60) + 3]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in some], "i long").coalesce(1).select(mixing.golden_point(F.col("i"))).collect()]
+    assert got == [(i * mixing.GOLDEN % (1 << 45)) / (1 << 45) for i in some]
+
+
 def test_quality(docs):
     got = {r.id: r for r in suffix_quality.measures(docs).collect()}
     for i, t in enumerate(TEXTS):
@@ -100,10 +156,26 @@ def test_quality(docs):
         n = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
         cover = {j for k in range(len(w) - 7) if n[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
         assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(cover)), i
+        m = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        assert got[i].n_passage_words == len({j for k in range(len(w) - 4) if m[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)})
+        assert got[i].longest_repeat == max((k for k in range(len(w)) if len({tuple(w[a : a + k]) for a in range(len(w) - k + 1)}) < len(w) - k + 1), default=0) if len(w) < 700 else True
     assert got[10].n_dup_lines == 1 and got[13].n_symbols == 240
     assert suffix_quality.good(docs).columns == docs.columns
 
 
+def test_quality_verdict_decides(spark):
+    five = [f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(6)]
+    once = [f"w{i}" for i in range(400)]
+    texts = {
+        "clean": " ".join(once), "short passages": " ".join(x for i in range(12) for x in (five[i % 6], f"x{i}")), "one long passage": " ".join(once[:7] + once[20:35] + once[:7]),
+        "base": " ".join(once[:30] * 3), "few words": "a b c", "long text, one passage": " ".join(once + once[:20]),
+    }
+    df = spark.createDataFrame([(k, t, 1) for k, t in texts.items()], "doc_id string, text string, n_words int")
+    got = {r.id: (r.failed, r.kept) for r in suffix_quality.measures(df).select("id", suffix_quality.base_failed().alias("failed"), suffix_quality.verdict().alias("kept")).collect()}
+    assert got == {"clean": (False, True), "short passages": (False, False), "one long passage": (False, False), "base": (True, False), "few words": (True, False), "long text, one passage": (False, True)}
+    assert {r.doc_id for r in suffix_quality.good(df).collect()} == {"clean", "long text, one passage"}
+
+
 def test_bpe(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
