@@ -222,24 +222,28 @@ def tokenise(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256 (of the decimal ids, comma-joined), decoded_sha256 (of the decoded bytes)."""
-    source = docs.select(docs[id_col].alias("id"), body(docs, text).alias("t"))
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False, **more: F.Column) -> DataFrame:
+    """Per row: id, the columns ``more``, n_tokens, ids_sha256 (of the decimal ids, comma-joined), decoded_sha256 (of the decoded bytes), and the ids if asked for."""
+    source = docs.select(docs[id_col].alias("id"), *[c.alias(k) for k, c in more.items()], body(docs, text).alias("t"))
+    kept = ["id", *more]
+    types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         sha, decimal = hashlib.sha256, {i: str(i) for i in enc.bytes_of}.__getitem__
         for batch in batches:
-            n, coded, decoded = [], [], []
+            n, coded, decoded, all_ids = [], [], [], []
             for found in enc.encode_all(x.as_py() for x in batch.column("t")):
                 ids = found.tolist()
                 n.append(len(ids))
                 coded.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
                 decoded.append(sha(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    all_ids.append(found)
+            columns = {k: batch.column(k) for k in kept} | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+            if with_ids:
+                columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = ", ".join([f"{k} {types[k]}" for k in kept] + ["n_tokens bigint, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>"] * with_ids)
+    return source.mapInArrow(run, schema)

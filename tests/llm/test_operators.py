@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -520,3 +521,84 @@ def test_viterbi_matches_brute_force():
     for s, got in zip(seqs, pii.viterbi(seqs, moves)):
         best = max(itertools.product(range(3), repeat=len(s)), key=lambda p: sum(s[i, p[i]] for i in range(len(s))) + sum(moves[p[i], p[i + 1]] for i in range(len(s) - 1)))
         assert tuple(got) == best
+
+
+PIPELINE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest__ int, row string, ID string, label int"
+
+
+def pipeline_rows():
+    clean = [(i, " ".join(f"w{i}x{k}" for k in range(60 + i)), "en", f"s{i % 3}", 1, 1, "r", "i", 0) for i in range(30)]
+    near = [(100 + i, clean[i][1].replace(f"w{i}x59", "other"), "en", clean[i][3], 1, 1, "r", "i", 0) for i in range(5)]
+    same = [(200 + i, clean[i][1].replace(" ", "\n"), None, clean[i][3], 1, 1, "r", "i", 0) for i in range(5)]
+    bad = [(300, None, None, None, None, None, None, None, None), (301, "", "en", "s1", 0, 1, "r", "i", 0), (302, "again " * 300, "en", "s1", 0, 1, "r", "i", 0), (303, "few words", "en", None, 0, 1, "r", "i", 0)]
+    long = [(400, " ".join(f"l{k}" for k in range(200_000)), "en", "s2", 1, 1, "r", "i", 0), (None, " ".join(f"n{k}" for k in range(90)), "en", "s0", 1, 1, "r", "i", 0)]
+    return clean + near + same + bad + long + clean[:2]
+
+
+def test_pipeline_stages(spark):
+    rows = pipeline_rows()
+    docs, seen = spark.createDataFrame(rows, PIPELINE_SCHEMA).repartition(3), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.keep(stage(spark, docs, ""), f"test-{name}")
+        assert name == "tokens" or out.schema.simpleString() == docs.schema.simpleString()
+        seen[name] = out.collect()
+        docs = out
+    clean = set(range(30)) | {400, None}
+    ids = {k: [r.doc_id for r in v] for k, v in seen.items()}
+    assert set(ids["quality"]) == clean | set(range(100, 105)) | set(range(200, 205)) and len(ids["quality"]) == 44
+    assert set(ids["exact"]) == clean | set(range(100, 105)) and len(ids["exact"]) == 37
+    assert sorted(ids["near"], key=str) == sorted(clean, key=str)
+    texts = {r[0]: r[1] for r in rows}
+    assert all(r.text == texts[r.doc_id] for r in seen["mix"])
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in seen["near"]:
+        sizes[r.source] += len(r.text.split())
+    for r in seen["mix"]:
+        taken[r.source] += len(r.text.split())
+    assert all(taken[s] <= 2 * n for s, n in sizes.items()) and sum(taken.values()) == pytest.approx(1.5 * sum(sizes.values()), rel=0.35)
+    enc = bpe.encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert len(seen["tokens"]) == len(seen["mix"])
+    for r in seen["tokens"]:
+        assert enc.decode(r.ids).decode() == texts[r.doc_id] and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_pipeline_of_empty_table(spark):
+    docs = spark.createDataFrame([], PIPELINE_SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.keep(stage(spark, docs, ""), f"empty-{name}")
+        assert docs.count() == 0, name
+
+
+def test_near_classes_equal_brute_force(spark):
+    """Texts of a few themes with edits of every size: classes are the components of the graph of all pairs of 0.8 or more."""
+    rng, rows = np.random.default_rng(21), []
+    for theme in range(12):
+        base = words(int(rng.integers(20, 160)), theme).split()
+        for _ in range(14):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                w[int(rng.integers(0, len(w)))] = f"e{rng.integers(0, 50)}"
+            rows.append((len(rows), " ".join(w[int(rng.integers(0, 4)) :])))
+    bags = [bagminhash._bag(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bagminhash.similarity(bags[i], bags[j]) >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    got = {r.id: r.class_id for r in bagminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string").withColumn("rid", F.lit(1)).withColumn("LABEL", F.lit("x")).repartition(3)).collect()}
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if top(i) == top(j)]
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.97 * len(pairs) > 100
+    assert all(top(i) == top(j) for i in got for j in got if got[i] == got[j])
+
+
+def test_empty_tables_of_bpe_and_records(spark, empty):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.round_trip(empty, path, P.PATTERN).count() == 0 and bpe.tokenise(empty, path, P.PATTERN).count() == 0
