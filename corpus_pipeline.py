@@ -1,13 +1,16 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
+
+Each stage handles nulls in any column, empty and very long texts, repeated rows, empty tables and more columns than
+``documents`` has as its operator's module says; all but the last give the columns they get. A stage's table goes once the next one is stored.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from orrery.llm import bagminhash, bpe, exact_dedup, mixing, suffix_quality
-from orrery.llm.common import keep, read
+from orrery.llm.common import forget, keep, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +34,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per row: doc_id, source, n_tokens and the ids' digest, decoded again for a check."""
+    """Per row: doc_id, source, n_tokens, the ids and their digest, and the digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
-    return coded.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True, source=docs["source"])
+    return coded.withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("tokens", tokens)]
@@ -44,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
