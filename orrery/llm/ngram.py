@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, body, crc_remainder, forget, keep, mix, passes, scratch, string_buffers
+from .common import Words, body, crc_remainder, forget, keep, mix, passes, remove, scratch, string_buffers
 
 FOLDS = 7
 HELD_OUT = 2
@@ -96,7 +96,7 @@ def _load(folder: str, name: str) -> dict[str, np.ndarray]:
 
 #: Mapped files cost no memory of their own; files read over a network are kept in small number.
 _mapped = lru_cache(maxsize=1 << 14)(_load)
-_held = lru_cache(maxsize=32)(_load)
+_held = lru_cache(maxsize=8)(_load)
 
 
 def _arrays(folder: str, name: str) -> dict[str, np.ndarray]:
@@ -377,8 +377,8 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 class Model:
-    def __init__(self, shape: Shape, vocabulary: Vocabulary, n_tokens: int):
-        self.shape, self.vocabulary, self.n_tokens = shape, vocabulary, n_tokens
+    def __init__(self, folder: str, shape: Shape, vocabulary: Vocabulary, n_tokens: int):
+        self.folder, self.shape, self.vocabulary, self.n_tokens = folder, shape, vocabulary, n_tokens
         self.n_words = shape.words
         #: By order: folder, file names by bucket, discounts, sum of counts.
         self.orders: dict[int, tuple[str, dict[int, str], tuple[float, float, float], int]] = {}
@@ -458,7 +458,7 @@ def train(texts: DataFrame, order: int = ORDER, per_bucket: int = PER_BUCKET) ->
     ranked = _ranked(counted)
     vocabulary = Vocabulary(f"{folder}/words", _write_words(ranked, f"{folder}/words"), shape.unknown)
     forget(counted, ranked)
-    model = Model(shape, vocabulary, int(n_tokens))
+    model = Model(folder, shape, vocabulary, int(n_tokens))
     if not n_tokens:
         return model
 
@@ -508,7 +508,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
 
 def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
-    """Train on the texts whose remainder isn't the held-out one, and score all."""
+    """Train on the texts whose remainder isn't the held-out one, and score all. The scores are stored; the model goes."""
     held = crc_remainder(docs[id_col], FOLDS) == HELD_OUT
     model = train(docs.filter(~held).select(body(docs, text).alias("t")), order)
-    return score(docs, model, id_col, text, held_out=held).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+    out = keep(score(docs, model, id_col, text, held_out=held).withColumn("train_tokens", F.lit(model.n_tokens).cast("long")), "scores")
+    remove(docs.sparkSession, model.folder)
+    return out
