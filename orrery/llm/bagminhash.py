@@ -30,8 +30,8 @@ from .common import Words, body, forget, keep, mix, passes, string_buffers
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 20
-ROWS = 6
+BANDS = 32
+ROWS = 5
 SALTS = 8
 #: Orders of members that bands take in turn.
 ORDERS = 2
