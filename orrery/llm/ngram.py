@@ -36,7 +36,7 @@ FOLDS = 7
 HELD_OUT = 2
 ORDER = 3
 #: Tokens for each bucket of n-grams; a task's memory is some 100 bytes a token.
-PER_BUCKET = 1 << 21
+PER_BUCKET = 1 << 20
 #: Bytes of texts that are counted or scored together; a longer text by itself.
 SCORED = 1 << 22
 #: Mark of the end among word hashes.
