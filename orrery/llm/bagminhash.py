@@ -34,7 +34,7 @@ BANDS = 32
 ROWS = 5
 SALTS = 8
 #: Orders of members that bands take in turn.
-ORDERS = 2
+ORDERS = 8
 #: Members of a bucket that one task orders.
 RUN = 4096
 #: Rows to drop that are broadcast, some 16 bytes each.
@@ -154,11 +154,13 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def unsettled(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rid, label) of the members of buckets with more than one label; a text without a label is its own."""
+    """(rid, label), stored, of the members of buckets with more than one label; a text without a label is its own."""
     crowd = crowd.withColumnRenamed("rid", "own")
     named = keep(crowd.join(labels, crowd.own == labels.node, "left").select(F.col("own").alias("rid"), "bucket", F.coalesce("label", "own").alias("label")), "named")
     mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    return named.join(mixed, "bucket", "left_semi").select("rid", "label").distinct()
+    out = keep(named.join(mixed, "bucket", "left_semi").select("rid", "label").distinct(), "unsettled")
+    forget(named)
+    return out
 
 
 def _elements(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -174,7 +176,8 @@ def crowded(texts: DataFrame, least: float) -> DataFrame:
     """Distinct (a, b), a < b, stored, with all pairs of similarity ``least`` or more and different labels. ``texts``: rid, label, t.
 
     With sizes x <= y, similar sets share at least 2 * least / (1 + least) * x and least * y elements. So by any order of
-    elements, the least one they share is within the first x - that + 1 of the smaller and y - that + 1 of the larger.
+    elements, the least one they share is within the first x - that + 1 of the smaller and y - that + 1 of the larger, and both
+    have as many elements from there on as similar sets of these sizes share.
     """
     spark = texts.sparkSession
 
@@ -204,15 +207,18 @@ def crowded(texts: DataFrame, least: float) -> DataFrame:
                 probe = place <= size - np.ceil(least * size - 1e-6)
                 index = place <= size - np.ceil(2 * least / (1 + least) * size - 1e-6)
                 columns = [batch.column(c).take(pa.array(row[probe] + i)) for c in ("rid", "label")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(size[probe]), pa.array(token[probe].view(np.int64)), pa.array(index[probe])], names=["rid", "label", "size", "token", "index"])
+                values = [pa.array(size[probe]), pa.array(token[probe].view(np.int64)), pa.array(place[probe]), pa.array(index[probe])]
+                yield pa.RecordBatch.from_arrays([*columns, *values], names=["rid", "label", "size", "token", "place", "index"])
 
-    tokens = keep(texts.select("rid", "label", "t").mapInArrow(prefix, "rid bigint, label bigint, size bigint, token bigint, index boolean"), "tokens")
+    tokens = keep(texts.select("rid", "label", "t").mapInArrow(prefix, "rid bigint, label bigint, size bigint, token bigint, place bigint, index boolean"), "tokens")
     common = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main")).filter("low <> high")
     shared = keep(tokens.join(common.select("token", "main"), "token").withColumn("is_main", F.col("label") == F.col("main")).drop("main"), "shared")
     # Members of a token's commonest class meet only those of other classes: main ones are sought in part 0, and found in part 1.
     seek = shared.filter("index").withColumn("part", F.explode(F.when(F.col("is_main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
-    offer = shared.select(F.col("rid").alias("r"), F.col("label").alias("l"), F.col("size").alias("z"), "token", F.col("is_main").cast("int").alias("part"))
+    offer = shared.select(F.col("rid").alias("r"), F.col("label").alias("l"), F.col("size").alias("z"), F.col("place").alias("at"), "token", F.col("is_main").cast("int").alias("part"))
     near = (F.col("label") != F.col("l")) & (F.struct("size", "rid") < F.struct(F.col("z").alias("size"), F.col("r").alias("rid"))) & (F.col("z") * least <= F.col("size") + 1e-6)
+    # If this is the least element that both have, what follows it in either must be enough for the others they share.
+    near &= F.least(F.col("size") - F.col("place"), F.col("z") - F.col("at")) >= (F.col("size") + F.col("z")) * (least / (1 + least)) - 1e-6
     both = seek.hint("merge").join(offer.hint("merge"), ["token", "part"]).filter(near)
     out = keep(both.select(F.least("rid", "r").alias("a"), F.greatest("rid", "r").alias("b")).distinct(), "late")
     forget(tokens, shared)
@@ -283,8 +289,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, signed). rows has one per row of ``docs``: rid, id, class_id (least id of the class), class_size, kept (one row per class)."""
-    signed = keep(_signed(docs, id_col, text, bands, rows, whole), "signed")
-    signed = signed.withColumn("t", F.coalesce(F.col("row")[text].cast("string"), F.lit("")))
+    stored = keep(_signed(docs, id_col, text, bands, rows, whole), "signed")
+    signed = stored.withColumn("t", F.coalesce(F.col("row")[text].cast("string"), F.lit("")))
+    signed._kept_at = stored._kept_at
     some = signed.filter("n_words > 0")
     copies = keep(some.groupBy("h1", "h2").agg(F.min("rid").alias("rep")), "copies")
     reps = some.select("rid", "bands").join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi")
@@ -292,7 +299,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     linked = links(signed, pairs, least)
     first = components(linked)
     found = first.select("node", "label")
-    open_texts = keep(unsettled(inside.filter("n > 2").select("rid", "bucket"), found), "unsettled")
+    open_texts = unsettled(inside.filter("n > 2").select("rid", "bucket"), found)
     done = [copies, pairs, inside, linked, first, open_texts]
     if not open_texts.isEmpty():
         texts = keep(signed.select("rid", "t").hint("merge").join(open_texts.hint("merge"), "rid"), "open")
@@ -321,7 +328,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
 
 def near_classes(docs: DataFrame, **options) -> DataFrame:
     """Per row: id, class_id, class_size, kept."""
-    return classes(docs, **options)[0].drop("rid")
+    found, signed = classes(docs, **options)
+    forget(signed)
+    return found.drop("rid")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
