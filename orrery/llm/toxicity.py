@@ -39,7 +39,7 @@ SAMPLE = 20000
 MIN_TEXTS, MIN_WEIGHT, MIN_CHI = 3, 1.5, 15.0
 #: Clean texts that an exception phrase comes in at least, and how likely they may be by chance.
 MIN_CLEAN, CHANCE = 3, 0.01
-#: Labelled ids that are broadcast, some 20 bytes each.
+#: Labelled ids that are broadcast, some 60 bytes each.
 BROADCAST_LABELS = 1 << 20
 #: Files that a worker reads to build its automaton.
 LEXICON_FILES = 4
