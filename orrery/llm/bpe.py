@@ -5,7 +5,8 @@ linked bytes. The hash is built in levels: keys that share no slot of a level se
 the rank of a settled slot's bit is its place, where the entry and its id are stored; the entry is compared with the key.
 
 By the usual pattern a space between characters that aren't white space begins a new pre-token, so texts are encoded word by
-word, and a worker remembers the ids of the words it has met; texts with other white space are cut by the pattern as a whole.
+word, and a worker remembers the ids of the words it has met, up to a number of bytes; texts with other white space are cut by the pattern
+as a whole. A batch is worked off and given on in slices, so a worker never holds the ids of a whole batch.
 
 Defined cases: a null text is empty and has no ids. Texts of any length are encoded whole. Every byte sequence can be
 encoded, since every single byte is an entry. An empty table gives no rows; other columns, whatever their names, don't matter.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 from itertools import chain, pairwise
 from struct import pack
@@ -28,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_LEVEL_PATTERN, body, cut_alone, mix, spaced
+from .common import BYTE_LEVEL_PATTERN, at_work, body, cut_alone, give_back, mix, passes, spaced, string_buffers
 
-#: Distinct words after which a worker's memo of ids is set aside; the one set aside before is forgotten then.
-REMEMBERED = 1 << 19
-#: Characters of texts that are split and looked up together; a longer text is a group of its own.
+#: Bytes after which a worker's memo of ids is set aside; the one set aside before is forgotten then.
+REMEMBERED = 48 << 20
+#: Bytes of a word in the memo besides its characters and its ids: the heads of both objects and the place in the dictionary.
+ENTRY_BYTES = 128
+#: Characters of texts that are split and looked up together, and bytes of a slice of a batch; a longer text is a group and a slice of its own.
 GROUP_CHARS = 1 << 20
 
 
@@ -109,6 +112,8 @@ class Encoder:
         #: Ids, as bytes, of words and pre-tokens met before; None for words that can't be cut alone.
         self.memo: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
+        #: Bytes of the memo, about.
+        self.held = 0
 
     def merge(self, piece: bytes) -> bytes:
         """Ids of a piece, four bytes each: the pair of lowest rank merges first, the leftmost of equal ones."""
@@ -153,20 +158,24 @@ class Encoder:
         new = some.difference(self.memo)
         if new and self.older:
             known = new.intersection(self.older)
-            self.memo.update((w, self.older[w]) for w in known)
+            self._remember({w: self.older[w] for w in known})
             new -= known
         return new
 
+    def _remember(self, words: Mapping[str, bytes | None]) -> None:
+        self.memo.update(words)
+        self.held += sum(ENTRY_BYTES + len(w) + len(i or b"") for w, i in words.items())
+
     def _learn(self, words: set[str]) -> None:
         cut = {w: self.split.findall(w) for w in words if cut_alone(w)}
-        self.memo.update((w, None) for w in words - cut.keys())
+        self._remember(dict.fromkeys(words - cut.keys()))
         pieces = set(chain.from_iterable(cut.values()))
         get = {p: i for p in pieces if (i := self.memo.get(p) or self.older.get(p)) is not None}
         new = self.lookup(pieces.difference(get))
         # White space within a word is a pre-token, but no word that can be cut alone.
-        self.memo.update((p, i) for p, i in new.items() if cut_alone(p))
+        self._remember({p: i for p, i in new.items() if cut_alone(p) and p not in cut})
         get |= new
-        self.memo.update((w, b"".join(map(get.__getitem__, found))) for w, found in cut.items())
+        self._remember({w: b"".join(map(get.__getitem__, found)) for w, found in cut.items()})
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of each text; texts of together up to ``GROUP_CHARS`` characters are looked up at a time."""
@@ -182,8 +191,8 @@ class Encoder:
 
     def _encode_group(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [spaced(t) if self.by_word and t and "\0" not in t else None for t in texts]
-        if len(self.memo) > REMEMBERED:
-            self.older, self.memo = self.memo, {}
+        if self.held > REMEMBERED:
+            self.older, self.memo, self.held = self.memo, {}, 0
         if new := self._know(set().union(*filter(None, split))):
             self._learn(new)
         get = self.memo.__getitem__
@@ -209,15 +218,31 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(ranks, pattern)
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of up to ``GROUP_CHARS`` bytes of their texts ``t``, or of one row; what is free after each batch goes back to the system."""
+    for batch in batches:
+        _, offsets = string_buffers(batch.column("t"))
+        for i, j in passes(offsets, GROUP_CHARS):
+            yield batch.slice(i, j - i)
+        give_back()
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    """An array of lists of int; ``ids`` isn't empty."""
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))
+
+
 def tokenise(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, ids (array of int)."""
     source = docs.select(docs[id_col].alias("id"), body(docs, text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("bpe", encoder.cache_clear)
         enc = encoder(path, pattern)
-        for batch in batches:
-            ids = list(enc.encode_all(x.as_py() for x in batch.column("t")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+        for batch in _slices(batches):
+            ids = _lists(list(enc.encode_all(x.as_py() for x in batch.column("t"))))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), ids], names=["id", "ids"])
 
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>")
 
@@ -229,9 +254,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("bpe", encoder.cache_clear)
         enc = encoder(path, pattern)
         sha, decimal = hashlib.sha256, {i: str(i) for i in enc.bytes_of}.__getitem__
-        for batch in batches:
+        for batch in _slices(batches):
             n, coded, decoded, all_ids = [], [], [], []
             for found in enc.encode_all(x.as_py() for x in batch.column("t")):
                 ids = found.tolist()
@@ -242,7 +268,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     all_ids.append(found)
             columns = {k: batch.column(k) for k in kept} | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if with_ids:
-                columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
+                columns["ids"] = _lists(all_ids)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = ", ".join([f"{k} {types[k]}" for k in kept] + ["n_tokens bigint, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>"] * with_ids)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# --- memory of workers --------------------------------------------------------------------------------------------
+
+#: By operator, what drops the memory it keeps in this worker from task to task.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def at_work(operator: str, drop: Callable[[], object] | None = None) -> None:
+    """To be called when a task begins in a worker: what other operators keep there from task to task goes, since stages are handed the same workers."""
+    for other in _KEPT.keys() - {operator}:
+        _KEPT.pop(other)()
+        give_back()
+    if drop is not None:
+        _KEPT[operator] = drop
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the system; else it stays with the worker."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 # --- bytes and words in numpy -------------------------------------------------------------------------------------
 
 

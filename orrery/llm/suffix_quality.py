@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, body, fresh, passes, string_buffers
+from .common import Words, at_work, body, fresh, passes, string_buffers
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -113,6 +113,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("quality")
         for batch in batches:
             if not batch.num_rows:
                 continue

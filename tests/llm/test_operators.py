@@ -7,6 +7,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -187,6 +188,50 @@ def test_bpe(docs):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_memo_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 1 << 19)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 1 << 14)
+    path, most = P.path("byte_bpe_multi_50k.tiktoken"), 0
+    enc = bpe.Encoder(bpe.encoder(path, P.PATTERN).ranks, P.PATTERN)
+    texts = [" ".join(f"w{i}x{j}" * 20 for j in range(40)) for i in range(240)]
+    plain = bpe.Encoder(enc.ranks, P.PATTERN)
+    for text, ids in zip(texts, enc.encode_all(texts)):
+        assert ids.tolist() == plain.encode(text)
+        most = max(most, sum(len(w) + len(i or b"") for memo in (enc.memo, enc.older) for w, i in memo.items()))
+    # Two memos, each with a group beyond the bound; all words and ids have about 3 MB.
+    assert 1 << 19 < most < 3 << 19
+
+
+def test_bpe_gives_a_batch_on_in_slices(spark, monkeypatch):
+    """Ids of a large batch aren't held all at once, and rows and order stay."""
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    texts = [words(2000 + i, i) for i in range(400)] + ["", LONG * 100, "", "end"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "t": texts})
+    out = list(bpe.round_trip(docs, path, P.PATTERN, with_ids=True)(iter([batch, batch.slice(0, 0), batch.slice(401)])))
+    assert max(sum(len(texts[i]) for i in b.column("id").to_pylist()) for b in out) <= max(1 << 20, len(LONG) * 100)
+    assert sum(b.num_rows > 1 for b in out) > 3
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["id"] for r in rows] == [*range(404), 401, 402, 403]
+    enc = bpe.encoder(path, P.PATTERN)
+    for r in rows:
+        assert enc.decode(r["ids"]).decode() == texts[r["id"]] and r["n_tokens"] == len(r["ids"])
+    ids = [r for b in bpe.tokenise(docs, path, P.PATTERN)(iter([batch])) for r in b.to_pylist()]
+    assert [r["ids"] for r in ids] == [r["ids"] for r in rows[:404]]
+
+
+def test_worker_drops_what_another_operator_kept(spark, monkeypatch):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    batch = pa.RecordBatch.from_pydict({"id": [1], "t": [LONG]})
+    for _ in range(2):
+        list(bpe.round_trip(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)(iter([batch])))
+        assert bpe.encoder.cache_info().currsize == 1
+    list(suffix_quality.measures(docs)(iter([batch])))
+    assert bpe.encoder.cache_info().currsize == 0
+
+
 def test_perfect_hash_is_minimal():
     keys = [str(i).encode() for i in range(5000)]
     assert sorted(bpe.PerfectHash(keys).places(keys).tolist()) == list(range(5000))
